@@ -8,9 +8,13 @@ d = 1 - Jaccard is a metric. The join divides the sets into regions and joins ea
    own region and the windows that the overlap bound allows). Documents as pivots can't serve here: nearly all points
    lie at distance 1 of nearly all others, so every point would be in every window. The order puts shingles that many
    points hold last, so a line that a third of all documents share opens no region for them.
+   Shingles are ordered by a key of level and hash; where two keys clash, regions hold a few points too many.
+   A pair is first held against the front parts of both sets: what one lacks there of the other bounds the
+   intersection, and most pairs of documents that only share a passage end here. The rest is compared in full.
 3. A region whose points are not yet known to be in one component is joined: its first pivot is compared with each
-   point; small regions then compare their other pairs; larger ones take several pivots, form their Voronoi cells, and
-   copy a point x into the cell of pivot j too where d(x, p_j) <= d(x, p_i) + 2 r, i being its own cell (by the
+   point. Where all but a few points are then known to be in one component, those few are compared with all others;
+   larger regions with the same first pivot become one (nearly always they hold the same group of near copies), take
+   several pivots among the points outside of the main component, form their Voronoi cells, and copy a point x into the cell of pivot j too where d(x, p_j) <= d(x, p_i) + 2 r, i being its own cell (by the
    triangle inequality a partner of x can lie only there). Cells are joined in the next round, without the pivots.
    Pairs known to be in one component need no comparison, as components are what is returned.
 
@@ -36,8 +40,9 @@ from .work import Work
 LEVEL_BITS, POINT_BITS, REGION_BITS = 22, 24, 26
 #: Shingles that a counting task holds at once, and most shingles that are marked as frequent.
 HELD, FREQUENT = 1 << 22, 1 << 18
-#: Points of a region whose pairs are compared without further pivots; pivots of a larger one.
-LEAF, PIVOTS = 24, 8
+#: Points outside of a region's main component that are compared with all others without further pivots; pivots of a
+#: larger region, twice as many in each round up to MOST_PIVOTS.
+LEAF, PIVOTS, MOST_PIVOTS = 64, 16, 256
 
 
 def _point(s: np.ndarray) -> int:
@@ -119,8 +124,8 @@ def _points(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFr
                     sizes.append(n)
                     points.append(_point(s) if n else None)
                     p = n - (percent * n + 99) // 100 + 1 if n else 0
-                    level = table[(s & mask).astype(np.int64)]
-                    opens.append(_signed(s[:p] if not level[:p].any() else s[np.lexsort((s, level))[:p]]))
+                    level = table[(s & mask).astype(np.int64)].astype(np.uint64)
+                    opens.append(_signed(np.sort((level << np.uint64(58)) | (s >> np.uint64(6)))[:p]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(points, pa.int64()), _lists(opens)], ["key", "doc_id", "n", "point", "opens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -164,8 +169,33 @@ def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     return got.dropDuplicates(["point"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes of intersection and union."""
+def _possible(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the front parts of both sets don't rule out.
+
+    Up to the lesser of both fronts' ends, in the common order, all of either set is known. What one set has there and
+    the other hasn't is no part of the intersection.
+    """
+
+    def may(batches):
+        for b in batches:
+            keep = []
+            for x, y, n, m in zip(b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_pylist(), b.column(5).to_pylist()):
+                x, y = np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64)
+                end = min(x[-1], y[-1])
+                x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+                small, large = (x, y) if len(x) < len(y) else (y, x)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1) if len(large) else np.zeros(0, int)
+                c = int((large[at] == small).sum()) if len(large) else 0
+                most = min(n - len(x) + c, m - len(y) + c)
+                keep.append(100 * most >= percent * (n + m - most))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(fronts.toDF("b", "n_b", "opens_b"), "b").join(fronts.toDF("a", "n_a", "opens_a"), "a")
+    return joined.select("a", "b", "opens_a", "opens_b", "n_a", "n_b").mapInArrow(may, "a long, b long")
+
+
+def _compare(pairs: DataFrame, docs: DataFrame, keys: DataFrame, k: int, work: Work) -> DataFrame:
+    """Pairs (a, b) with the sizes of intersection and union, from the whole sets of the points named."""
 
     def meet(batches):
         for b in batches:
@@ -179,8 +209,12 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 either.append(len(x) + len(y) - m)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
 
+    near = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
+    sets = work.save(_sets(docs, keys.join(near, "point"), k), "sets")
     joined = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(meet, "a long, b long, both long, either long")
+    met = work.save(joined.select("a", "b", "set_a", "set_b").mapInArrow(meet, "a long, b long, both long, either long"), "met")
+    work.drop(sets)
+    return met
 
 
 def _ordered(a: str, b: str) -> list:
@@ -197,13 +231,18 @@ def _spread(links: DataFrame, work: Work) -> DataFrame:
 
 
 def _apart(members: DataFrame, parts: DataFrame | None, work: Work) -> DataFrame:
-    """Members of the regions that hold points of more than one part, with their part; equal regions once."""
-    m = members if parts is None else members.join(parts, "point", "left").withColumn("part", F.coalesce("part", "point"))
-    m = m if parts is not None else m.withColumn("part", F.col("point"))
-    m = work.save(m.select("region", "point", "n", "part"), "members")
-    per = m.groupBy("region").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"), F.sum(F.col("n") * 0 + F.xxhash64("point").bitwiseAND(0xFFFFFFFF)).alias("sum"), F.bit_xor(F.xxhash64("point")).alias("xor"), F.min("point").alias("least"))
-    per = per.where("lo < hi").groupBy("size", "sum", "xor", "least").agg(F.min("region").alias("region"))
-    out = work.save(m.join(per.select("region", "size", F.col("least").alias("pivot")), "region"), "apart")
+    """Members (region, point, n) of the regions that hold points of more than one part, equal regions once; with their
+    part, and of their region the main part, the number of points outside of it and the least point."""
+    if parts is None:
+        m = members.select("region", "point", "n", F.col("point").alias("part"))
+    else:
+        m = members.join(parts, "point", "left").select("region", "point", "n", F.coalesce("part", "point").alias("part"))
+    m = work.save(m, "members")
+    by_part = m.groupBy("region", "part").agg(F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("point"), 20)).alias("sum"), F.bit_xor(F.xxhash64("point")).alias("xor"), F.min("point").alias("least"))
+    per = by_part.groupBy("region").agg(F.count("*").alias("parts"), F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("size"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"), F.min("least").alias("least")).where("parts > 1")
+    once = per.groupBy("size", "sum", "xor", "least").agg(F.min(F.struct("region", "top")).alias("r"))
+    once = once.select(F.col("r.region").alias("region"), F.col("r.top.part").alias("main"), (F.col("size") - F.col("r.top.c")).alias("outside"), "least")
+    out = work.save(m.join(once, "region"), "apart")
     work.drop(m)
     return out
 
@@ -223,39 +262,37 @@ def jaccard_links(docs: DataFrame, work: Work, k: int = 5, percent: int = 75) ->
     apart = _apart(members.join(first, "region"), None, work)
     work.drop(members)
     near = apart.select("point").distinct()
-    keys = points.join(near, "point").groupBy("point").agg(F.min("key").alias("key"))
-    sets = work.save(_sets(docs, keys, k), "sets")
+    held = work.save(points.join(near, "point").groupBy("point").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("opens").alias("opens")), "fronts")
+    keys, fronts = held.select("point", "key"), held.select("point", "n", "opens")
     fits = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-    own = apart.where("point = pivot").select("region", F.col("point").alias("p"), F.col("n").alias("n2"))
+    own = apart.where("point = least").select("region", F.col("point").alias("p"), F.col("n").alias("n2"))
     pairs = apart.join(own, "region").where(F.col("point") != F.col("p")).where(fits).select(*_ordered("point", "p")).distinct()
-    links, done = None, None
-    turn = 0
+    pairs = work.save(pairs, "pairs")
+    links = full = pivots = None
+    done, turn = pairs, 0
+    members = apart.select(F.when(F.col("outside") > LEAF, F.col("least")).otherwise(F.col("region")).alias("region"), "point", "n").distinct()
     while True:
-        met = work.save(_compare(pairs, sets), "met")
+        tried = _possible(pairs, fronts, percent)
+        met = _compare(work.save(tried if full is None else tried.union(full).distinct(), "tried"), docs, keys, k, work)
         found = met.where(f"100 * both >= {percent} * either").select("a", "b")
         links = found if links is None else links.union(found)
-        done = met.select("a", "b") if done is None else done.union(met.select("a", "b"))
-        if turn:
+        if pivots is not None:
             members = _cells(members, pivots, met, percent)
-        else:
-            members = apart.where("point <> pivot").select("region", "point", "n").union(apart.where("point = pivot").select("region", "point", "n"))
         apart = _apart(members, _spread(links, work), work)
         if apart.isEmpty():
             return points.select("doc_id", "n", "point"), links
-        small, large = apart.where(F.col("size") <= LEAF), apart.where(F.col("size") > LEAF)
-        x, y = small.select("region", "point", "n", "part"), small.select("region", F.col("point").alias("p"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-        pairs = x.join(y, "region").where("point < p and part <> part2").where(fits).select(*_ordered("point", "p"))
-        members = large.select("region", "point", "n", "part")
-        chosen = large.groupBy("region").agg(*[F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "point"), "point", "n")).alias(f"p{i}") for i in range(PIVOTS)])
-        pivots = work.save(chosen.select("region", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.point").alias("p"), F.col(f"p{i}.n").alias("n2")) for i in range(PIVOTS)]))).alias("v")).select("region", "v.p", "v.n2"), "pivots")
-        wide = members.join(pivots, "region").where("point <> p")
-        pairs = pairs.union(wide.select(*_ordered("point", "p"))).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = work.save(pairs, "pairs")
-        known = done if turn else done
+        small, large = apart.where(F.col("outside") <= LEAF), apart.where(F.col("outside") > LEAF)
+        x = small.where("part <> main").select("region", F.col("point").alias("p"), F.col("n").alias("n2"), F.col("part").alias("part2"))
+        pairs = small.join(x, "region").where("part <> part2 and (part = main or point < p)").where(fits).select(*_ordered("point", "p")).distinct()
+        pairs = work.save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = done.union(pairs)
+        # larger regions: pivots by the least of several hashes; their distances to all points are measured in full
+        members, many = large.select("region", "point", "n"), min(PIVOTS << turn, MOST_PIVOTS)
+        chosen = [F.min(F.struct(F.xxhash64(F.lit(turn * MOST_PIVOTS + i), "point"), "point")).alias(f"p{i}") for i in range(many)]
+        chosen = large.where("part <> main").groupBy("region").agg(*chosen).select("region", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.point") for i in range(many)]))).alias("p"))
+        pivots = work.save(chosen, "pivots")
+        full = members.join(pivots, "region").where("point <> p").select(*_ordered("point", "p")).distinct()
         turn += 1
-        # the distances of pairs compared in earlier rounds are needed for the cells too
-        again = wide.select(*_ordered("point", "p")).distinct().join(known, ["a", "b"], "left_semi")
-        pairs = pairs.union(again)
 
 
 def _cells(members: DataFrame, pivots: DataFrame, met: DataFrame, percent: int) -> DataFrame:

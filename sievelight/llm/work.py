@@ -45,8 +45,13 @@ class Work:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._sievelight_path = path
+        self.release()
         return out
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of finished steps now, not at the driver's next collection of garbage."""
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             self._delete(f._sievelight_path)
