@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import benchmark, langid, mixture, near, seekable
+from . import ann, benchmark, langid, mixture, near, seekable, urls
 
-_MODULES = (langid, near, benchmark, seekable, mixture)
+_MODULES = (langid, near, benchmark, ann, urls, seekable, mixture)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
