@@ -35,11 +35,11 @@ from .components import connected_components
 from .words import blocks, shingles
 from .work import Work
 
-#: Slots of the tables sent to the workers: 4 MB of levels, 2 MB and 8 MB of bits. Their sizes don't follow the data;
+#: Slots of the tables sent to the workers: 4 MB of levels, 2 MB and 2 MB of bits. Their sizes don't follow the data;
 #: slots that fill up cost work, not links.
-LEVEL_BITS, POINT_BITS, REGION_BITS = 22, 24, 26
+LEVEL_BITS, POINT_BITS, REGION_BITS = 22, 24, 24
 #: Shingles that a counting task holds at once, and most shingles that are marked as frequent.
-HELD, FREQUENT = 1 << 22, 1 << 18
+HELD, FREQUENT = 1 << 22, 1 << 17
 #: Points outside of a region's main component that are compared with all others without further pivots; pivots of a
 #: larger region, twice as many in each round up to MOST_PIVOTS.
 LEAF, PIVOTS, MOST_PIVOTS = 64, 16, 256
