@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import ann, benchmark, langid, mixture, near, seekable, urls
+from . import ann, benchmark, langid, lm, mixture, near, quality, seekable, urls, warc
 
-_MODULES = (langid, near, benchmark, ann, urls, seekable, mixture)
+_MODULES = (quality, langid, near, benchmark, ann, warc, urls, seekable, lm, mixture)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -55,6 +55,19 @@ class Chunks:
         self._many = getattr(self._t, "encode_batch_fast", self._t.encode_batch)
         self._known: dict[bytes, tuple[int, ...]] = {}
 
+    _held: dict[str, Chunks] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Chunks:
+        """The one of this process, whose memory serves one task after another."""
+        if path not in cls._held:
+            cls._held[path] = cls(path)
+        return cls._held[path]
+
+    def many(self, parts: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of parts without white space, not remembered."""
+        return [tuple(e.ids) for e in self._many([p.decode() for p in parts], add_special_tokens=False)]
+
     def whole(self, text: str) -> list[int]:
         return self._t.encode(text, add_special_tokens=False).ids
 
@@ -172,7 +185,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, parts: int
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        chunks, (fs, base) = Chunks(tokenizer), store(folder)
+        chunks, (fs, base) = Chunks.of(tokenizer), store(folder)
         fs.create_dir(base, recursive=True)
         rows, w, tmp, n = [], None, None, 0
 

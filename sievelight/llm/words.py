@@ -56,10 +56,10 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def _hash(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a buffer, and the position of each; a word also ends where one of ``starts`` is."""
+def _hash(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a buffer, the position and the length of each; a word also ends where one of ``starts`` is."""
     if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~_SPACE[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -67,13 +67,13 @@ def _hash(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first[inner] |= word[inner]
     begin = np.flatnonzero(first)
     if not len(begin):
-        return np.zeros(0, np.uint64), begin
+        return np.zeros(0, np.uint64), begin, begin
     up, down = _Powers.to(len(buf) + 1)
     v = _BYTE[buf] * up[: len(buf)]
     v[~word] = 0
     h = np.add.reduceat(v, begin) * down[begin]
-    n = np.add.reduceat(word.astype(np.int64), begin).astype(np.uint64)
-    return mix(h + n * np.uint64(_BASE)), begin
+    n = np.add.reduceat(word.astype(np.int64), begin)
+    return mix(h + n.astype(np.uint64) * np.uint64(_BASE)), begin, n
 
 
 def blocks(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -89,7 +89,7 @@ def blocks(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
             h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield i, j, h, np.array([0, len(h)])
         else:
-            h, begin = _hash(buf[at[i] : at[j]], at[i:j] - at[i])
+            h, begin, _ = _hash(buf[at[i] : at[j]], at[i:j] - at[i])
             yield i, j, h, np.searchsorted(begin, at[i : j + 1] - at[i])
         i = j
 
@@ -131,3 +131,19 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def spelled(column: pa.Array, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """The distinct words of runs of rows of about ``size`` bytes: hash, count and spelling."""
+    buf, at = texts(column)
+    i, rows = 0, len(at) - 1
+    while i < rows:
+        j = min(max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1), rows)
+        part = buf[at[i] : at[j]]
+        pieces = [(part, at[i:j] - at[i])] if len(part) <= 2 * size else [(x, np.zeros(0, np.int64)) for x in _pieces(part, size)]
+        for piece, starts in pieces:
+            h, begin, n = _hash(piece, starts)
+            u, first, c = np.unique(h, return_index=True, return_counts=True)
+            raw = piece.tobytes()
+            yield u, c, [raw[b : b + k].lower() for b, k in zip(begin[first].tolist(), n[first].tolist())]
+        i = j
