@@ -141,7 +141,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
-    return made.select(F.col("source_id").alias("page_id"), *_NAMES[1:-1], F.decode("block", F.lit("utf-8")).alias("block"))
+    return made.select(F.col("source_id").alias("page_id"), *_NAMES[1:-1], F.decode("block", "utf-8").alias("block"))
 
 
 QUERIES = {"op6_warc_derivatives": op6_warc_derivatives}
