@@ -1 +1,5 @@
+"""The library's queries."""
 
+from . import base, relational, scalars
+
+QUERIES, SQL = base.QUERIES, base.SQL
