@@ -1,5 +1,5 @@
 """The library's queries."""
 
-from . import base, relational, scalars
+from . import base, relational, scalars, texts
 
 QUERIES, SQL = base.QUERIES, base.SQL
