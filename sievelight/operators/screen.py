@@ -185,10 +185,12 @@ def analyzer_policy(score: str | Column) -> tuple[Column, Column]:
     return verdict, risk
 
 
-def decide(df: DataFrame, text: str = "text", detections: str = "detections", risk: str = "risk", score: str | Column = F.lit(0.0), failed: Column = F.lit(False), hard: Column = F.lit(False)) -> DataFrame:
+def decide(df: DataFrame, text: str = "text", detections: str = "detections", risk: str = "risk", score: str | Column | None = None, failed: Column | None = None, hard: Column | None = None) -> DataFrame:
     """Adds verdict and risk_level by the ordered gates: no text, a failed analyzer, an unknown risk, a hard block, a
     score that is no number, then the highest of the policies; detections raise an allow, and what can't be sanitized
     is blocked."""
+    score = F.lit(0.0) if score is None else _c(score)
+    failed, hard = (F.lit(False) if x is None else x for x in (failed, hard))
     v2, r2 = analyzer_policy(score)
     known = F.col(risk).isin(*R.RISKS)
     v1 = F.when(F.col(risk) == "NONE", "ALLOW").when(F.col(risk) == "CRITICAL", "BLOCK").otherwise("SANITIZE")
@@ -198,7 +200,7 @@ def decide(df: DataFrame, text: str = "text", detections: str = "detections", ri
     raised = F.when(some, F.greatest(level, F.lit(3))).otherwise(level)
     verdict = F.when((top == "ALLOW") & some, "SANITIZE").otherwise(top)
     stuck = (verdict == "SANITIZE") & some & (F.col("sanitized") == F.col(text))
-    bad = F.col(text).isNull() | failed | ~known | hard | (F.col(risk) == "CRITICAL") | F.isnan(_c(score)) | (_c(score) < 0)
+    bad = F.col(text).isNull() | failed | ~known | hard | (F.col(risk) == "CRITICAL") | F.isnan(score) | (score < 0)
     df = df.withColumn("sanitized", sanitized(text, detections))
     out_risk = F.when(bad, "CRITICAL").when(verdict == "BLOCK", at_rank(level, R.RISKS)).when(verdict == "ALLOW", "NONE").otherwise(at_rank(raised, R.RISKS))
     return df.withColumns({"verdict": F.when(bad | stuck, "BLOCK").otherwise(verdict), "risk_level": out_risk})

@@ -1,5 +1,5 @@
 """The library's queries."""
 
-from . import base, relational, scalars, texts
+from . import base, relational, scalars, screening, texts
 
 QUERIES, SQL = base.QUERIES, base.SQL
