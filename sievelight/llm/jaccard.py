@@ -12,10 +12,15 @@ d = 1 - Jaccard is a metric. The join divides the sets into regions and joins ea
    A pair is first held against the front parts of both sets: what one lacks there of the other bounds the
    intersection, and most pairs of documents that only share a passage end here. The rest is compared in full.
 3. A region whose points are not yet known to be in one component is joined: its first pivot is compared with each
-   point. Where all but a few points are then known to be in one component, those few are compared with all others;
-   larger regions with the same first pivot become one (nearly always they hold the same group of near copies), take
-   several pivots among the points outside of the main component, form their Voronoi cells, and copy a point x into the cell of pivot j too where d(x, p_j) <= d(x, p_i) + 2 r, i being its own cell (by the
-   triangle inequality a partner of x can lie only there). Cells are joined in the next round, without the pivots.
+   point. Where all but a few points are then known to be in one component, those few are compared with all others.
+   Larger regions with the same first pivot become one (nearly always they hold the same group of near copies). Each
+   takes several pivots inside and outside of its main component and compares them with the points outside, which in a
+   group of near copies leaves few. A region of more than BLOCK points after three such rounds measures the distances of
+   its pivots to all points, forms their Voronoi cells, and copies a point x into the cell of pivot j too where d(x, p_j) <= d(x, p_i) + 2 r, i being its own cell (by the
+   triangle inequality a partner of x can lie only there). Cells are joined in the next rounds, without the pivots.
+   What pivots can't part, near copies just beyond the radius of one another, is at last held against each other front
+   by front, in blocks of at most BLOCK points outside and BLOCK points of any kind; only pairs that may link leave a
+   block.
    Pairs known to be in one component need no comparison, as components are what is returned.
 
 Nulls, empty texts and texts of white space have no shingles, form no region and stay alone. Repeated rows and equal
@@ -27,6 +32,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +47,9 @@ LEVEL_BITS, POINT_BITS, REGION_BITS = 22, 24, 24
 #: Shingles that a counting task holds at once, and most shingles that are marked as frequent.
 HELD, FREQUENT = 1 << 22, 1 << 17
 #: Points outside of a region's main component that are compared with all others without further pivots; pivots of a
-#: larger region, twice as many in each round up to MOST_PIVOTS.
-LEAF, PIVOTS, MOST_PIVOTS = 64, 16, 256
+#: larger region, half of them inside of its main component; points of a block; rows of an Arrow batch that holds two
+#: sets a row.
+LEAF, PIVOTS, BLOCK, PAIR_BATCH = 64, 8, 2048, 1000
 
 
 def _point(s: np.ndarray) -> int:
@@ -212,7 +219,14 @@ def _compare(pairs: DataFrame, docs: DataFrame, keys: DataFrame, k: int, work: W
     near = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
     sets = work.save(_sets(docs, keys.join(near, "point"), k), "sets")
     joined = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
-    met = work.save(joined.select("a", "b", "set_a", "set_b").mapInArrow(meet, "a long, b long, both long, either long"), "met")
+    met = joined.select("a", "b", "set_a", "set_b").mapInArrow(meet, "a long, b long, both long, either long")
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(PAIR_BATCH))  # two sets a row
+    try:
+        met = work.save(met, "met")
+    finally:
+        conf.set(name, before)
     work.drop(sets)
     return met
 
@@ -241,7 +255,7 @@ def _apart(members: DataFrame, parts: DataFrame | None, work: Work) -> DataFrame
     by_part = m.groupBy("region", "part").agg(F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("point"), 20)).alias("sum"), F.bit_xor(F.xxhash64("point")).alias("xor"), F.min("point").alias("least"))
     per = by_part.groupBy("region").agg(F.count("*").alias("parts"), F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("size"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"), F.min("least").alias("least")).where("parts > 1")
     once = per.groupBy("size", "sum", "xor", "least").agg(F.min(F.struct("region", "top")).alias("r"))
-    once = once.select(F.col("r.region").alias("region"), F.col("r.top.part").alias("main"), (F.col("size") - F.col("r.top.c")).alias("outside"), "least")
+    once = once.select(F.col("r.region").alias("region"), F.col("r.top.part").alias("main"), (F.col("size") - F.col("r.top.c")).alias("outside"), "least", "size")
     out = work.save(m.join(once, "region"), "apart")
     work.drop(m)
     return out
@@ -276,27 +290,82 @@ def jaccard_links(docs: DataFrame, work: Work, k: int = 5, percent: int = 75) ->
         met = _compare(work.save(tried if full is None else tried.union(full).distinct(), "tried"), docs, keys, k, work)
         found = met.where(f"100 * both >= {percent} * either").select("a", "b")
         links = found if links is None else links.union(found)
-        if pivots is not None:
+        if full is not None:
             members = _cells(members, pivots, met, percent)
         apart = _apart(members, _spread(links, work), work)
         if apart.isEmpty():
             return points.select("doc_id", "n", "point"), links
+        turn += 1
         small, large = apart.where(F.col("outside") <= LEAF), apart.where(F.col("outside") > LEAF)
-        x = small.where("part <> main").select("region", F.col("point").alias("p"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-        pairs = small.join(x, "region").where("part <> part2 and (part = main or point < p)").where(fits).select(*_ordered("point", "p")).distinct()
-        pairs = work.save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        members = large.select("region", "point", "n")
+        pivots = work.save(_pivots(large, turn), "pivots")
+        outside = lambda d: d.where("part <> main").select("region", F.col("point").alias("p"), F.col("n").alias("n2"), F.col("part").alias("part2"))
+        pairs = small.join(outside(small), "region").where("part <> part2 and (part = main or point < p)").where(fits).select(*_ordered("point", "p"))
+        full = None
+        if turn < 4:
+            near = outside(large).join(pivots.select("region", F.col("p").alias("point"), "n", "part"), "region").where("part <> part2").where(fits)
+            pairs = pairs.union(near.select(*_ordered("point", "p")))
+        elif turn == 4 and not large.where(F.col("size") > BLOCK).isEmpty():
+            full = members.join(pivots.select("region", "p"), "region").where("point <> p").select(*_ordered("point", "p")).distinct()
+        else:
+            pairs = pairs.union(_blocks(large, fronts, percent))
+            members = members.limit(0)
+        pairs = work.save(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.union(pairs)
-        # larger regions: pivots by the least of several hashes; their distances to all points are measured in full
-        members, many = large.select("region", "point", "n"), min(PIVOTS << turn, MOST_PIVOTS)
-        chosen = [F.min(F.struct(F.xxhash64(F.lit(turn * MOST_PIVOTS + i), "point"), "point")).alias(f"p{i}") for i in range(many)]
-        chosen = large.where("part <> main").groupBy("region").agg(*chosen).select("region", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.point") for i in range(many)]))).alias("p"))
-        pivots = work.save(chosen, "pivots")
-        full = members.join(pivots, "region").where("point <> p").select(*_ordered("point", "p")).distinct()
-        turn += 1
+
+
+def _blocks(large: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a point outside of its region's main part and one of another part, that their fronts don't rule out."""
+
+    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["outer"]].reset_index(drop=True), pdf[~pdf["outer"]].reset_index(drop=True)
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        fx, fy = ([np.asarray(v, np.int64).view(np.uint64) for v in t["opens"]] for t in (x, y))
+        flat = np.concatenate([*fx, *fy])
+        row = np.repeat(np.arange(len(fx) + len(fy)), [len(v) for v in [*fx, *fy]])
+        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = count[at] > 1
+        _, at = np.unique(at[shared], return_inverse=True)
+        row, c = row[shared], np.zeros((len(fx), len(fy)), np.float32)
+        for lo in range(0, int(at.max()) + 1 if len(at) else 0, 4096):
+            here = (at >= lo) & (at < lo + 4096)
+            m = np.zeros((len(fx) + len(fy), 4096), np.float32)
+            m[row[here], at[here] - lo] = 1
+            c += m[: len(fx)] @ m[len(fx) :].T
+        end_x, end_y = np.array([v[-1] for v in fx]), np.array([v[-1] for v in fy])
+        seen_x, seen_y = np.stack([np.searchsorted(v, end_y, "right") for v in fx]), np.stack([np.searchsorted(v, end_x, "right") for v in fy], axis=1)
+        n, k = x["n"].to_numpy(np.int64)[:, None], y["n"].to_numpy(np.int64)[None]
+        most = np.minimum(n - seen_x + c, k - seen_y + c)
+        other = (x["part"].to_numpy()[:, None] != y["part"].to_numpy()[None]) & (x["point"].to_numpy()[:, None] != y["point"].to_numpy()[None])
+        i, j = np.nonzero((100 * most >= percent * (n + k - most)) & other)
+        p, q = x["point"].to_numpy()[i], y["point"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    parts = lambda size: F.ceil(size / F.lit(BLOCK)).cast("int")
+    block = lambda size: F.pmod(F.xxhash64("point", F.lit("block")), parts(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), parts(size) - 1))
+    outer = large.where("part <> main").withColumn("i", block(F.col("outside"))).withColumn("j", every(F.col("size"))).withColumn("outer", F.lit(True))
+    inner = large.withColumn("j", block(F.col("size"))).withColumn("i", every(F.col("outside"))).withColumn("outer", F.lit(False))
+    cols = ("region", "i", "j", "outer", "point", "n", "part")
+    rows = outer.select(*cols).unionByName(inner.select(*cols)).join(fronts.select("point", "opens"), "point")
+    return rows.groupBy("region", "i", "j").applyInPandas(hold, "a long, b long")
+
+
+def _pivots(large: DataFrame, turn: int) -> DataFrame:
+    """(region, p, n, part): the points with the least of several hashes, half of them inside of the main part."""
+    inside, chosen = F.col("part") == F.col("main"), []
+    for i in range(PIVOTS):
+        v = F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "point"), F.col("point").alias("p"), "n", "part")
+        chosen.append(F.min(F.when(inside if i % 2 else ~inside, v)).alias(f"p{i}"))
+    got = large.groupBy("region").agg(*chosen)
+    each = F.array_distinct(F.array(*[F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in ("p", "n", "part")]) for i in range(PIVOTS)]))
+    return got.select("region", F.explode(each).alias("v")).select("region", "v.p", "v.n", "v.part").where("p is not null")
 
 
 def _cells(members: DataFrame, pivots: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """The Voronoi cells of the larger regions: each point but the pivots in its nearest pivot's, and in those within 2 r."""
+    pivots = pivots.select("region", "p")
     away = members.join(pivots, "region").where("point <> p").join(pivots.select("region", F.col("p").alias("point")), ["region", "point"], "left_anti")
     away = away.select("region", "point", "n", "p", *_ordered("point", "p")).join(met, ["a", "b"])
     away = away.withColumn("d", 1 - F.col("both") / F.col("either"))
