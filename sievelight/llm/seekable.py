@@ -59,6 +59,12 @@ class Chunks:
         self._many = getattr(self._t, "encode_batch_fast", self._t.encode_batch)
         self._known: dict[bytes, tuple[int, ...]] = {}
         self._older: dict[bytes, tuple[int, ...]] = {}
+        pieces = self._t.get_vocab()
+        self._ints = list(range(max(pieces.values(), default=0) + 1))  # one object for each id
+        self._last = [False] * len(self._ints)  # ids that end a word, if the vocabulary marks them
+        for piece, i in pieces.items():
+            self._last[i] = piece.endswith("</w>")
+        self._marked = any(self._last)
 
     _held: dict[str, Chunks] = {}
 
@@ -71,36 +77,52 @@ class Chunks:
 
     def many(self, parts: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of parts without white space, not remembered."""
-        return [tuple(e.ids) for e in self._many([p.decode() for p in parts], add_special_tokens=False)]
+        out: list[tuple[int, ...] | None] = [None] * len(parts)
+        texts = [p.decode() for p in parts]
+        if self._marked:  # words of letters only go in one text, and are told apart by the ids that end a word
+            plain = [i for i, t in enumerate(texts) if t.isalpha()]
+            for k in range(0, len(plain), 1024):
+                at = plain[k : k + 1024]
+                got, word = [], []
+                for x in self._t.encode(" ".join([texts[i] for i in at]), add_special_tokens=False).ids:
+                    word.append(self._ints[x])
+                    if self._last[x]:
+                        got.append(tuple(word))
+                        word = []
+                if len(got) == len(at) and not word:
+                    for i, ids in zip(at, got):
+                        out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for k in range(0, len(rest), 4096):
+            at = rest[k : k + 4096]
+            for i, e in zip(at, self._many([texts[i] for i in at], add_special_tokens=False)):
+                out[i] = tuple(self._ints[x] for x in e.ids)
+        return out
 
     def whole(self, text: str) -> list[int]:
         return self._t.encode(text, add_special_tokens=False).ids
 
     def texts(self, batch: list[bytes]) -> Iterator[list[int]]:
-        known = self._known
-        for text in batch:
-            parts = text.lower().split()
-            out: list[int] = []
-            add = out.extend
-            try:
+        for i in range(0, len(batch), 64):
+            split = [text.lower().split() for text in batch[i : i + 64]]
+            self._learn({p for parts in split for p in parts})
+            known = self._known
+            for parts in split:
+                out: list[int] = []
+                add = out.extend
                 for p in parts:
-                    add(known[p])
-            except KeyError:
-                out.clear()
-                self._learn(parts)
-                long = {}
-                for p in parts:
-                    ids = known.get(p) or long.get(p)
-                    if ids is None:
-                        ids = long[p] = tuple(self.whole(p.decode()))
-                    add(ids)
-            yield out
-
-    def _learn(self, parts: list[bytes]) -> None:
-        new = [p for p in set(parts) if p not in self._known and len(p) <= LONGEST]
+                    add(known[p] if p in known else self._long(p))
+                yield out
+
+    def _long(self, part: bytes) -> tuple[int, ...]:
+        """The ids of a part that is too long to be remembered."""
+        return self.many([part])[0]
+
+    def _learn(self, parts: set[bytes]) -> None:
+        new = [p for p in parts if p not in self._known and len(p) <= LONGEST]
         if len(self._known) + len(new) > REMEMBERED:
             self._older, self._known = self._known, {}
-            new = [p for p in set(parts) if len(p) <= LONGEST]
+            new = [p for p in parts if len(p) <= LONGEST]
         known, older, absent, split = self._known, self._older, set(), []
         for p in new:
             ids = older.get(p)
@@ -118,10 +140,8 @@ class Chunks:
                             absent.add(x)
             else:
                 absent.add(p)
-        some = sorted(absent)
-        for i in range(0, len(some), 4096):
-            for p, e in zip(some[i : i + 4096], self._many([p.decode() for p in some[i : i + 4096]], add_special_tokens=False)):
-                known[p] = tuple(e.ids)
+        some = list(absent)
+        known.update(zip(some, self.many(some)))
         for p, stem, marks in split:
             known[p] = known[stem] + known[marks]
 
