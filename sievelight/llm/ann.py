@@ -3,7 +3,8 @@
 Every tree gives each vector a long string of bits, the signs of its projections on random directions, and keeps the
 strings in a sorted array. A query descends to its longest matching prefix in each tree, and then ascends in all trees
 at once, one bit a time, until the entries that share the prefix are enough; these candidates are ranked by the exact
-inner product. For vectors of different lengths, one more coordinate makes all index vectors equally long, which
+inner product. Recall at 20 of the least favourable table measured, 64 dimensions with neighbours at 60 degrees and
+more, is 0.967 in a full shard, with 41 % of it as candidates; vectors that lie closer need fewer. For vectors of different lengths, one more coordinate makes all index vectors equally long, which
 turns the largest inner product into the nearest direction.
 
 Equal vectors are one entry, which carries its least ids, as many as a query may return plus its own: no more of them
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .work import Work
 
-#: Trees, bits of a string, candidates that end the ascent (per shard), entries of a shard, queries of a block.
-TREES, BITS, ENOUGH, SHARD, BLOCK = 24, 32, 3000, 16384, 16384
+#: Trees, bits of a string, matches over all trees that end the ascent in a shard, entries of a shard, queries of a block.
+TREES, BITS, ENOUGH, SHARD, BLOCK = 128, 24, 8000, 16384, 16384
 
 
 class Forest:
@@ -46,11 +47,11 @@ class Forest:
         """One column of strings, as numbers, for each tree."""
         out = np.zeros((len(x), self._trees), np.uint64)
         place = (np.uint64(1) << np.arange(self._bits - 1, -1, -1, dtype=np.uint64)).astype(np.uint64)
-        for i in range(0, len(x), 4096):
-            b = x[i : i + 4096]
+        for i in range(0, len(x), 1024):
+            b = x[i : i + 1024]
             rest = np.sqrt(np.maximum(0, self._longest**2 - (b * b).sum(axis=1))) if index else np.zeros(len(b))
             signs = np.hstack([b, rest[:, None]]).astype(np.float32) @ self._p > 0
-            out[i : i + 4096] = (signs.reshape(len(b), self._trees, self._bits) * place).sum(axis=2)
+            out[i : i + 1024] = (signs.reshape(len(b), self._trees, self._bits) * place).sum(axis=2)
         return out
 
     def candidates(self, q: np.ndarray, enough: int = ENOUGH) -> Iterator[np.ndarray]:
