@@ -1,5 +1,5 @@
 """The library's queries."""
 
-from . import base, relational, scalars, screening, streams, texts
+from . import base, policies, relational, scalars, screening, streams, texts
 
 QUERIES, SQL = base.QUERIES, base.SQL
