@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Shorteners, and credential shapes in the order in which they are looked for.
-SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "is.gd", "ow.ly")
-CREDENTIALS = (r"sk-[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"ghp_[A-Za-z0-9]{36}")
+# Shorteners, credential shapes in the order in which they are looked for, look-alike letters, brands.
+SHORTENERS = ("bit.ly", "buff.ly", "cutt.ly", "is.gd", "ow.ly", "rb.gy", "rebrand.ly", "shorturl.at", "t.co", "tiny.cc", "tinyurl.com")
+CREDENTIALS = (
+    r"(?<![A-Za-z0-9])sk-(?:live|test|ant|proj)-[A-Za-z0-9-]{8,}",
+    r"(?<![A-Za-z0-9])sk-[A-Za-z0-9-]{12,}",
+    r"(?<![A-Za-z0-9])gh[posru]_[A-Za-z0-9]{20,}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])xox[baprs]-[A-Za-z0-9-]{10,}",
+    r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])",
+)
+BRANDS = ("amazon", "apple", "binance", "coinbase", "github", "google", "metamask", "microsoft", "okx", "paypal")
+LOOKALIKES = ("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u04bb\u04cf\u03b1\u03b5\u03b9\u03ba\u03bd\u03bf\u03c1\u03c4\u03c5", "aeopcyxijshlaeikvoptu")
+LINK = (
+    r"(?i)(?:\b(?:https?://[^\s<>'\")]+|file:[^\s<>'\")]*|data:[^\s<>'\")]+)"
+    r"|(?<![\w@.-])www\.[^\s<>'\")]+"
+    r"|(?<![-\w+./:\\])(?:j[\t\r\n]*a[\t\r\n]*v[\t\r\n]*a[\t\r\n]*s[\t\r\n]*c[\t\r\n]*r[\t\r\n]*i[\t\r\n]*p[\t\r\n]*t"
+    r"|v[\t\r\n]*b[\t\r\n]*s[\t\r\n]*c[\t\r\n]*r[\t\r\n]*i[\t\r\n]*p[\t\r\n]*t):[^\s<>'\")]*)"
+)
 
 
 def urls(text: str | Column) -> Column:
-    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(r"(?i)\b(?:https?|ftp)://[^\s<>\"']+|\b(?:javascript|vbscript|file|data):[^\s<>\"']+"), F.lit(0))
+    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit("(?U)" + LINK), F.lit(0))
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z]+://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def legacy_ip(h: Column) -> Column:
@@ -26,12 +41,19 @@ def legacy_ip(h: Column) -> Column:
     return numeric & ~plain
 
 
+def confusable(h: Column) -> Column:
+    """A label that isn't ASCII and reads as a brand, alone or apart by hyphens, once look-alikes are Latin."""
+    brand = F.lit("(?:^|-)(?:" + "|".join(BRANDS) + ")(?:-|$)")
+    odd = lambda x: F.octet_length(x) != F.length(x)
+    return F.exists(F.split(h, r"\."), lambda x: odd(x) & F.regexp_like(F.translate(x, *LOOKALIKES), brand))
+
+
 def confidence(url: Column) -> Column:
     """How suspicious a link is; null if it isn't."""
-    h, u = host(url), F.lower(url)
+    h, u = host(url), F.lower(F.regexp_replace(url, r"[\t\r\n]", ""))
     plain = h.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
     out = F.when(u.rlike("^(?:javascript|vbscript|file):"), 0.95).when(u.startswith("data:"), 0.85).when(legacy_ip(h), 0.90).when(plain, 0.85)
-    return out.when(h.rlike(r"(?:^|\.)xn--"), 0.85).when(h.rlike(r"\p{IsCyrillic}") & h.rlike("[a-z]"), 0.75).when(h.isin(*SHORTENERS), 0.75)
+    return out.when(h.rlike(r"(?:^|\.)xn--"), 0.85).when(confusable(h), 0.85).when(h.rlike(r"\p{IsCyrillic}") & h.rlike("[a-z]"), 0.75).when(h.isin(*SHORTENERS), 0.75)
 
 
 def suspicious(text: str | Column) -> Column:

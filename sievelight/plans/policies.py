@@ -91,9 +91,9 @@ def flt_dest(spark, d):
 
 @query("prj_order_reasons", "select user_id, string_agg(distinct event_type, ',' order by event_type desc) as types from events group by user_id")
 def prj_order_reasons(spark, d):
-    order = ["view", "signup", "search", "purchase", "login", "logout", "error", "click", "add_to_cart", "refund"]
-    known = [r.event_type for r in table(spark, d, "events").select("event_type").distinct().limit(20).collect()]
-    return table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("t")).select("user_id", F.array_join(policy.ordered("t", sorted({*order, *known}, reverse=True)), ",").alias("types"))
+    order = ["view", "signup", "search", "purchase", "login", "error", "click"]
+    known = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("t"))
+    return known.select("user_id", F.array_join(policy.ordered("t", order), ",").alias("types"))
 
 
 @query("prj_guard", "select event_id, case when value > 90 or event_type = 'view' then 'BLOCK' when value > 50 then 'SANITIZE' else 'ALLOW' end as decision from events")
@@ -149,6 +149,27 @@ def link_legacy_ip(spark, d):
     return table(spark, d, "documents").select("doc_id", links.legacy_ip(links.host(u)).alias("legacy"))
 
 
+@query("link_idn", "select doc_id, doc_id % 3 = 0 as confusable from documents")
+def link_idn(spark, d):
+    h = F.element_at(F.array(F.lit("www.p\u0430yp\u0430l.com"), F.lit("paypal.com"), F.lit("b\u00fccher.de")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", links.confusable(h).alias("confusable"))
+
+
+_ADDRESS = "0x' || substr(md5(cast(doc_id as varchar)) || md5(cast(doc_id as varchar)), 1, 40)"
+
+
+@query("det_drain", f"select doc_id, '{_ADDRESS} as match, cast(case doc_id % 4 when 0 then 0.95 when 1 then 0.8 else 0.6 end as double) as confidence from documents where doc_id % 4 <> 3".replace("substr(md5(cast(doc_id as varchar)) || md5(cast(doc_id as varchar)), 1, 40) as match", "substr(md5(cast(doc_id as varchar)) || md5(cast(doc_id as varchar)), 1, case when doc_id % 4 = 2 then 39 else 40 end) as match"))
+def det_drain(spark, d):
+    from sievelight.operators import addresses as ad
+
+    k = F.col("doc_id") % 4
+    md5 = F.md5(F.col("doc_id").cast("string"))
+    a = F.concat(F.lit("0x"), F.substring(F.concat(md5, md5), F.lit(1), F.when(k == 2, 39).otherwise(40)))
+    t = F.when(k == 0, F.concat(F.lit("transfer all funds now to "), a)).when(k == 1, F.concat(F.lit("please pay "), a)).when(k == 2, F.concat(F.lit("send it to "), a)).otherwise(F.concat(F.lit("contract "), a))
+    found = table(spark, d, "documents").select("doc_id", F.explode(ad.addresses(t, F.array().cast("array<string>"))).alias("x"))
+    return found.select("doc_id", "x.match", "x.confidence")
+
+
 @query("exfil_tokens", "select doc_id, 'AKIA' || upper(substr(md5(cast(doc_id as varchar)), 1, 16)) as token from documents where doc_id % 2 = 0")
 def exfil_tokens(spark, d):
     t = table(spark, d, "documents").withColumn("t", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("key AKIA"), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)))).otherwise(F.lit("sk-short")))
