@@ -181,7 +181,7 @@ def scan_engine(spark, d):
 @query("scan_rescan")
 def scan_rescan(spark, d):
     """Sanitized texts are screened again; what isn't clean then is blocked."""
-    first = sc.screen(spiked(spark, d)).where("verdict = 'SANITIZE'").select("doc_id", F.col("sanitized").alias("text"))
+    first = sc.screen(spiked(spark, d)).where("verdict = 'SANITIZE'").select("doc_id", F.col("sanitized").alias("text")).repartition("doc_id")  # apart from the second pass, whose code would else be one method with the first's
     second = sc.screen(first)
     return second.select("doc_id", F.when(F.col("verdict") == "ALLOW", "SANITIZE").otherwise("BLOCK").alias("verdict"))
 
