@@ -1,4 +1,5 @@
-"""Queries of the text screen. The raw texts hold no hits, so phrases are appended to every third of them."""
+"""Queries of the text screen. Every document is screened with its whole text; as the raw texts hold few hits, a phrase is
+appended to every third of them."""
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,13 +17,13 @@ SPIKES = (
     "\\x69\\x67\\x6e\\x6f\\x72\\x65",
 )
 _LIST = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in SPIKES) + "]"
-_SPIKED = f"(select doc_id, lang, case when doc_id % 3 = 0 then {_LIST}[doc_id % 12 + 1] else text end as text from documents where doc_id % 3 = 0 or doc_id % 5 = 1)"
+_SPIKED = f"(select doc_id, lang, case when doc_id % 3 = 0 then text || ' ' || {_LIST}[doc_id // 3 % {len(SPIKES)} + 1] else text end as text from documents)"
 
 
 def spiked(spark, d):
-    t = table(spark, d, "documents").where("doc_id % 3 = 0 or doc_id % 5 = 1").select("doc_id", "lang", "text")
-    phrase = F.element_at(F.array(*[F.lit(s) for s in SPIKES]), (F.col("doc_id") % 12 + 1).cast("int"))
-    return t.withColumn("text", F.when(F.col("doc_id") % 3 == 0, phrase).otherwise(F.col("text")))
+    phrase = F.element_at(F.array(*[F.lit(s) for s in SPIKES]), F.expr(f"cast(doc_id div 3 % {len(SPIKES)} + 1 as int)"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" "), phrase)).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", "lang", text.alias("text"))
 
 
 @query("flt_validate", f"select doc_id, case when trim(text) = '' then 'blank' when length(text) > 4000 then 'long' when lang not in ('en', 'de') then 'enum' else 'ok' end as status from {_SPIKED}")
@@ -80,7 +81,7 @@ _SCORE = f"(least(1, greatest(0, ({_ENTROPY} - 2) / 2)) * 0.2 + least(1, {_INVIS
 @query("det_heur", f"select doc_id, round({_SCORE}, 7) as score, {_SCORE} > 0.6 as flagged from {_HALVES}".replace("0.02)", "cast(0.02 as double))").replace("/ 0.15)", "/ cast(0.15 as double))"))
 def det_heur(spark, d):
     s = sc.heuristic_score("text")
-    return spiked(spark, d).select("doc_id", F.round(s, 7).alias("score"), (s > R.HEURISTIC).alias("flagged"))
+    return spiked(spark, d).select("doc_id", (F.round(s * 1e7) / 1e7).alias("score"), (s > R.HEURISTIC).alias("flagged"))
 
 
 _PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in R.KNOWN_INJECTIONS) + "]"
