@@ -1,7 +1,6 @@
 """Queries of the text screen. Every document is screened with its whole text; as the raw texts hold few hits, a phrase is
 appended to every third of them."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelight.functions import rules as R
@@ -119,16 +118,18 @@ def det_embed(spark, d):
 
 
 def _made(spark, d):
-    """Detections made from events: up to three a user, with classes, confidences and layers by number."""
+    """Detections made from all events of each user, with classes, confidences and layers by number. Of equal category and
+    layer, one stands for all: the first one's place and match, the highest confidence. So a user has 21 at most."""
     cats = F.array(*[F.lit(c) for c in R.CATEGORY_CLASS][:7])
-    e = table(spark, d, "events").where("event_id % 4 = 0").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")))
-    x = F.struct(F.element_at(cats, (F.col("event_id") % 7 + 1).cast("int")).alias("category"), F.col("event_type").alias("match"), ((F.col("event_id") % 41).cast("double") / 40).alias("confidence"), (F.col("event_id") % 3 + 1).cast("int").alias("layer"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", x.alias("x")))), lambda v: v["x"])
-    return e.where("n <= user_id % 4").groupBy("user_id").agg(listed.alias("dets")).select("user_id", "dets")
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("match"), F.element_at(cats, (F.col("event_id") % 7 + 1).cast("int")).alias("category"), ((F.col("event_id") % 41).cast("double") / 40).alias("confidence"), (F.col("event_id") % 3 + 1).cast("int").alias("layer"))
+    g = e.groupBy("user_id", "category", "layer").agg(F.min(F.struct("event_id", "match")).alias("first"), F.max("confidence").alias("confidence"))
+    x = F.struct("category", F.col("first.match").alias("match"), "confidence", "layer")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("first.event_id").alias("n"), x.alias("x")))), lambda v: v["x"])
+    return g.groupBy("user_id").agg(listed.alias("dets"))
 
 
 _CATLIST = "[" + ", ".join(f"'{c}'" for c in list(R.CATEGORY_CLASS)[:7]) + "]"
-_MADE = f"(select user_id, {_CATLIST}[event_id % 7 + 1] as category, event_type as match, cast(event_id % 41 as double) / 40 as confidence, event_id % 3 + 1 as layer, n from (select *, row_number() over (partition by user_id order by event_id) as n from events where event_id % 4 = 0) where n <= user_id % 4)"
+_MADE = f"(select user_id, {_CATLIST}[event_id % 7 + 1] as category, event_type as match, cast(event_id % 41 as double) / 40 as confidence, event_id % 3 + 1 as layer, event_id as n from events)"
 
 
 @query("scan_risk", f"select user_id, case when max(confidence) >= 0.9 and count(distinct layer) >= 2 then 'CRITICAL' when max(confidence) >= 0.9 or count(distinct layer) >= 3 then 'HIGH' when max(confidence) >= 0.7 or count(distinct layer) >= 2 then 'MEDIUM' else 'LOW' end as risk from {_MADE} group by user_id")

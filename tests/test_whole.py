@@ -21,3 +21,18 @@ def test_every_document_is_screened_whole(spark):
     assert all(got[k] == t if k % 3 else got[k].startswith(t + " ") for k, t in raw.items())
     assert {got[k][len(t) + 1 :] for k, t in raw.items() if k % 3 == 0} == set(screening.SPIKES)
     assert sum(r.n for r in plans.QUERIES["entry_screen"](spark, SF).collect()) == len(raw)
+
+
+def test_all_events_of_a_user_count(spark):
+    events = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id").collect():
+        events.setdefault(r.user_id, []).append(r.event_id)
+    got = {r.user_id: {(x.category, x.layer, x.confidence) for x in r.dets} for r in screening._made(spark, SF).collect()}
+    assert got.keys() == events.keys()
+    cats = list(screening.R.CATEGORY_CLASS)[:7]
+    for k, ids in events.items():
+        top = {}
+        for i in ids:
+            at = cats[i % 7], i % 3 + 1
+            top[at] = max(top.get(at, 0), i % 41 / 40)
+        assert got[k] == {(*at, c) for at, c in top.items()}
