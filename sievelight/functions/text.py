@@ -118,8 +118,7 @@ def plausible(t: Column) -> Column:
 
 
 def _kept(raw: Column) -> Column:
-    t = F.try_validate_utf8(raw.cast("string"))
-    return F.when(plausible(t), t)
+    return let(F.try_validate_utf8(raw.cast("string")), lambda t: F.when(plausible(t), t))
 
 
 def decode_base64(t) -> Column:

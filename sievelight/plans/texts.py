@@ -28,9 +28,9 @@ def fn_strip_invisible(spark, d):
     return t.select("doc_id", F.sha2(tx.strip_invisible("t"), 256).alias("h"), F.length("t").cast("long").alias("before"))
 
 
-@query("fn_canonical", "select doc_id, sha256(trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g'))) as key from documents where not contains(text, 'ß')")
+@query("fn_canonical", "select doc_id, sha256(trim(regexp_replace(lower(nfc_normalize(replace(text, 'ß', 'ss'))), '\\s+', ' ', 'g'))) as key from documents")
 def fn_canonical(spark, d):
-    return _docs(spark, d).where(~F.contains("text", F.lit("ß"))).select("doc_id", F.sha2(tx.canonical("text"), 256).alias("key"))
+    return _docs(spark, d).select("doc_id", F.sha2(tx.canonical("text"), 256).alias("key"))
 
 
 @query("fn_fold_unicode")
@@ -74,22 +74,25 @@ def fn_char_shingles(spark, d):
     return g.select("item_id", F.size("g").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("g"), "/"), 256).alias("h"))
 
 
-@query("fn_dec_b64", "select doc_id, substr(text, 1, 60) as decoded from documents where length(text) >= 60 and doc_id % 3 = 0")
+_PLAUSIBLE = r"length(text) >= 8 and len(regexp_extract_all(text, '[^\p{C}]|[\r\n\t]')) >= cast(0.9 as double) * length(text) and len(list_filter(range(1, length(text) + 1, 32), lambda i: length(regexp_replace(substr(text, i, 64), '[^\p{L}]', '', 'g')) >= cast(0.4 as double) * length(substr(text, i, 64)))) > 0"
+_DECODED = "select doc_id, case when octet_length(encode(text)) >= {} and " + _PLAUSIBLE.replace("{", "{{").replace("}", "}}") + " then text end as decoded from documents"
+
+
+@query("fn_dec_b64", _DECODED.format(12))
 def fn_dec_b64(spark, d):
-    t = _docs(spark, d).where("length(text) >= 60 and doc_id % 3 = 0").withColumn("e", F.concat(F.lit("see "), F.regexp_replace(F.base64(F.substring("text", 1, 60).cast("binary")), r"\s", "")))
+    t = _docs(spark, d).withColumn("e", F.concat(F.lit("see "), F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")))
     return t.select("doc_id", F.try_element_at(tx.decode_base64("e"), F.lit(1)).alias("decoded"))
 
 
-@query("fn_dec_hex", "select doc_id, substr(text, 1, 60) as decoded from documents where length(text) >= 60 and doc_id % 3 = 0")
+@query("fn_dec_hex", _DECODED.format(8))
 def fn_dec_hex(spark, d):
-    t = _docs(spark, d).where("length(text) >= 60 and doc_id % 3 = 0").withColumn("e", F.concat(F.lit("x 0x"), F.hex(F.substring("text", 1, 60).cast("binary"))))
+    t = _docs(spark, d).withColumn("e", F.concat(F.lit("x 0x"), F.hex(F.col("text").cast("binary"))))
     return t.select("doc_id", F.try_element_at(tx.decode_hex("e"), F.lit(1)).alias("decoded"))
 
 
-@query("fn_dec_xesc", "select doc_id, substr(text, 1, 60) as decoded from documents where length(text) >= 60 and doc_id % 3 = 0")
+@query("fn_dec_xesc", _DECODED.format(4))
 def fn_dec_xesc(spark, d):
-    e = F.regexp_replace(F.hex(F.substring("text", 1, 60).cast("binary")), "(..)", r"\\x$1")
-    t = _docs(spark, d).where("length(text) >= 60 and doc_id % 3 = 0").withColumn("e", e)
+    t = _docs(spark, d).withColumn("e", F.regexp_replace(F.hex(F.col("text").cast("binary")), "(..)", r"\\x$1"))
     return t.select("doc_id", F.try_element_at(tx.decode_escapes("e"), F.lit(1)).alias("decoded"))
 
 
@@ -107,9 +110,9 @@ def fn_dec_html(spark, d):
 _LAYER = r"^(?:(?:0x)?(?:[0-9a-fA-F]{2}){8,}|[A-Za-z0-9+/_-]{16,}={0,2}|(?:\\x[0-9a-fA-F]{2}){4,})$"
 
 
-@query("fn_layer", f"with e as (select doc_id, case doc_id % 3 when 0 then hex(encode(substr(text, 1, 40))) when 1 then url_encode(text) else text end as t from documents) select doc_id, length(t) >= 8 and (regexp_matches(t, '{_LAYER}') or (len(regexp_extract_all(t, '%[0-9a-fA-F]{{2}}')) >= 3 and not regexp_matches(replace(regexp_replace(t, '%[0-9a-fA-F]{{2}}', '', 'g'), 'x', ''), '%'))) as layer from (select doc_id, trim(t) as t from e)")
+@query("fn_layer", f"with e as (select doc_id, case doc_id % 3 when 0 then hex(encode(text)) when 1 then url_encode(text) else text end as t from documents) select doc_id, length(t) >= 8 and (regexp_matches(t, '{_LAYER}') or (len(regexp_extract_all(t, '%[0-9a-fA-F]{{2}}')) >= 3 and not regexp_matches(replace(regexp_replace(t, '%[0-9a-fA-F]{{2}}', '', 'g'), 'x', ''), '%'))) as layer from (select doc_id, trim(t) as t from e)")
 def fn_layer(spark, d):
-    e = F.expr("case doc_id % 3 when 0 then hex(cast(substr(text, 1, 40) as binary)) when 1 then replace(url_encode(text), '+', '%20') else text end")
+    e = F.expr("case doc_id % 3 when 0 then hex(cast(text as binary)) when 1 then replace(url_encode(text), '+', '%20') else text end")
     return _docs(spark, d).select("doc_id", tx.encoded_layer(e).alias("layer"))
 
 

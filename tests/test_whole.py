@@ -36,3 +36,26 @@ def test_all_events_of_a_user_count(spark):
             at = cats[i % 7], i % 3 + 1
             top[at] = max(top.get(at, 0), i % 41 / 40)
         assert got[k] == {(*at, c) for at, c in top.items()}
+
+
+def test_whole_texts_are_decoded(spark):
+    raw = documents(spark)
+    for name in ("fn_dec_b64", "fn_dec_hex", "fn_dec_xesc"):
+        got = {r.doc_id: r.decoded for r in plans.QUERIES[name](spark, SF).collect()}
+        assert got.keys() == raw.keys()
+        assert all(t is None or t == raw[k] for k, t in got.items())
+        assert sum(t is not None for t in got.values()) > 0.9 * len(raw) and max(len(t) for t in got.values() if t) > 1000
+
+
+def test_windows_beyond_the_first_count(spark):
+    from sievelight.functions import text as tx
+
+    text = "12345 " * 20 + "and then come letters " * 20
+    e = spark.createDataFrame([(text,)], "t string").select(F.base64(F.col("t").cast("binary")).alias("e")).select(F.regexp_replace("e", r"\s", "").alias("e"))
+    assert e.select(tx.decode_base64("e").alias("d")).first().d == [text]
+
+
+def test_sharp_s_has_a_canonical_key(spark):
+    raw = documents(spark)
+    got = {r.doc_id: r.key for r in plans.QUERIES["fn_canonical"](spark, SF).collect()}
+    assert got.keys() == raw.keys() and any("ß" in t for t in raw.values())
