@@ -97,10 +97,10 @@ def jn_occupied(spark, d):
     return r.where("doc_id % 4 <> 0").join(old, F.col("c") == F.col("o"), "left").select("doc_id", F.col("o").isNotNull().alias("occupied"))
 
 
-@query("jn_equivalence", "with w as (select doc_id % 2 as side, unnest(list_distinct(string_split(lower(text), ' '))) as form from documents where doc_id < 200) select form, count(*) as n from w where form in (select form from w where side = 0) and side = 1 and length(form) > 6 group by form")
+@query("jn_equivalence", "with w as (select doc_id % 2 as side, unnest(list_distinct(string_split(lower(text), ' '))) as form from documents) select form, count(*) as n from w where form in (select form from w where side = 0) and side = 1 group by form")
 def jn_equivalence(spark, d):
-    w = table(spark, d, "documents").where("doc_id < 200").select((F.col("doc_id") % 2).alias("side"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("form")).where(F.length("form") > 6)
-    return w.where("side = 1").join(w.where("side = 0").select("form").distinct(), "form", "left_semi").groupBy("form").agg(F.count("*").alias("n"))
+    w = table(spark, d, "documents").select((F.col("doc_id") % 2).alias("side"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("form"))
+    return w.where("side = 1").groupBy("form").agg(F.count("*").alias("n")).join(w.where("side = 0").select("form").distinct(), "form", "left_semi")
 
 
 @query("jn_contain_text", "select d.doc_id, contains(lower(d.text), lower(substr(e.text, 3, 12))) as occurs from documents d join documents e on e.doc_id = d.doc_id - d.doc_id % 2")

@@ -59,3 +59,16 @@ def test_sharp_s_has_a_canonical_key(spark):
     raw = documents(spark)
     got = {r.doc_id: r.key for r in plans.QUERIES["fn_canonical"](spark, SF).collect()}
     assert got.keys() == raw.keys() and any("ß" in t for t in raw.values())
+
+
+def test_forms_of_all_documents_meet(spark):
+    sides = [[], []]
+    for k, t in documents(spark).items():
+        sides[k % 2].append(set(t.lower().split(" ")))
+    known = set().union(*sides[0])
+    want = {}
+    for forms in sides[1]:
+        for f in forms & known:
+            want[f] = want.get(f, 0) + 1
+    assert {r.form: r.n for r in plans.QUERIES["jn_equivalence"](spark, SF).collect()} == want
+    assert any(len(f) <= 6 for f in want)
