@@ -1,6 +1,6 @@
 """N-gram Jaccard join: an exact similarity self-join of word-shingle sets in a metric space.
 
-d = 1 - Jaccard is a metric. The join divides the sets into regions and joins each region by itself, recursively:
+d = 1 - Jaccard is a metric. The join divides the sets into regions and joins each region by itself:
 
 1. Equal sets are one point. What follows joins points.
 2. The coarsest pivots are single shingles. Two points within the radius share one of the first
@@ -17,7 +17,8 @@ d = 1 - Jaccard is a metric. The join divides the sets into regions and joins ea
    takes several pivots inside and outside of its main component and compares them with the points outside, which in a
    group of near copies leaves few. A region of more than BLOCK points after three such rounds measures the distances of
    its pivots to all points, forms their Voronoi cells, and copies a point x into the cell of pivot j too where d(x, p_j) <= d(x, p_i) + 2 r, i being its own cell (by the
-   triangle inequality a partner of x can lie only there). Cells are joined in the next rounds, without the pivots.
+   triangle inequality a partner of x can lie only there). Cells are joined in the next round, in blocks and without
+   the pivots; this is one optional level, and cells are not split again.
    What pivots can't part, near copies just beyond the radius of one another, is at last held against each other front
    by front, in blocks of at most BLOCK points outside and BLOCK points of any kind; only pairs that may link leave a
    block.
