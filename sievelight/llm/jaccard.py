@@ -10,7 +10,7 @@ as pivots and joins each region by itself:
    all points lie at distance 1 of nearly all pivots, so each would be in every window.) The order puts shingles that
    many points hold last, so a line that a third of all documents share names no pivot for them. Shingles are ordered
    by a key of level and hash; where two keys clash, regions hold a few points too many.
-3. Each point carries a bitmap of its set, of 4 to 8 bits a shingle. Bits that the other of a pair lacks bound its
+3. Each point carries a bitmap of its set, of 2 to 4 bits a shingle. Bits that the other of a pair lacks bound its
    intersection from above; what they don't rule out is compared in full.
 4. Each point is compared with the pivots of its regions. Only regions that then hold points not yet known to be in one
    component go on, and there only pairs of different parts: small ones at once, larger ones block by block. A block
@@ -103,9 +103,9 @@ def _frequent(docs: DataFrame, k: int, work: Work) -> np.ndarray:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """A bitmap of a set, of at least 4 bits a shingle; its halves laid over each other are the bitmap of half the size."""
+    """A bitmap of a set, of at least 2 bits a shingle; its halves laid over each other are the bitmap of half the size."""
     bits = 64
-    while bits < 4 * len(s):
+    while bits < 2 * len(s):
         bits *= 2
     out = np.zeros(bits, bool)
     out[((s >> np.uint64(16)) & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -176,8 +176,8 @@ def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     return got.groupBy("point").agg(F.first("set").alias("set")).join(keys.select("point"), "point", "left_semi")
 
 
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of pairs (a, b, n, n2, sketch, sketch2) that the bitmaps don't rule out.
+def _possible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b) that the bitmaps of the points ``held`` don't rule out.
 
     Each bit of one that the other lacks stands for a shingle at least that isn't shared.
     """
@@ -193,7 +193,9 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * most >= percent * (n + m - most))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").select("a", "b", "n", "n2", "sketch", "sketch2").mapInArrow(may, "a long, b long")
+    of = held.select("point", "n", "sketch")
+    joined = pairs.select("a", "b").join(of.toDF("b", "n_b", "sketch_b"), "b").join(of.toDF("a", "n_a", "sketch_a"), "a")
+    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(may, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -241,19 +243,20 @@ def jaccard_links(docs: DataFrame, work: Work, k: int = 5, percent: int = 75) ->
     work.drop(pivots)
     held = points.where("point is not null").groupBy("point").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     held = work.save(held.join(met.select("point").distinct(), "point"), "held")
-    rows = work.save(met.join(held.drop("key"), "point").withColumns({"inner": F.lit(True), "was": F.lit(None).cast("long")}), "rows")
+    rows = work.save(met.join(held.select("point", "n"), "point").withColumns({"inner": F.lit(True), "was": F.lit(None).cast("long")}), "rows")
     # each point against the pivots of its regions
-    pivot = rows.where("region = point").select("region", F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
-    star = rows.where("region <> point").join(pivot, "region").select(F.col("region").alias("a"), F.col("point").alias("b"), "n", "n2", "sketch", "sketch2")
-    star = work.save(_possible(star, percent), "star")
+    fits = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    pivot = rows.where("region = point").select("region", F.col("n").alias("n2"))
+    star = rows.where("region <> point").join(pivot, "region").where(fits).select(F.col("region").alias("a"), F.col("point").alias("b"))
+    star = work.save(_possible(star, held, percent), "star")
     links = work.save(_linked(star, work.save(_sets(docs, _named(held, star), k), "sets"), percent), "links")
     apart = _apart(rows, links, work)
     # small regions, pair by pair
     small, large = apart.where(F.col("size") <= LEAF), apart.where(F.col("size") > LEAF)
-    outer = small.where("part <> main").select("region", F.col("point").alias("p"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("part").alias("part2"))
-    pairs = small.join(outer, "region").where("part <> part2 and (part = main or point < p)").select(*_ordered("point", "p"), "n", "n2", "sketch", "sketch2")
-    pairs = work.save(_possible(pairs, percent).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    near = _blocks(large.where(~_divisible()), percent, work)
+    outer = small.where("part <> main").select("region", F.col("point").alias("p"), F.col("n").alias("n2"), F.col("part").alias("part2"))
+    pairs = small.join(outer, "region").where("part <> part2 and (part = main or point < p)").where(fits).select(*_ordered("point", "p")).distinct()
+    pairs = work.save(_possible(pairs, held, percent).join(star, ["a", "b"], "left_anti"), "pairs")
+    near = _blocks(large.where(~_divisible()), held, percent, work)
     named = pairs.select(F.explode(F.array("a", "b")).alias("point")).union(near.select("point")).union(large.where(_divisible()).select("point"))
     sets = work.save(_sets(docs, held.select("point", "key").join(named.distinct(), "point", "left_semi"), k), "sets")
     links = links.union(work.save(_linked(pairs, sets, percent), "links"))
@@ -263,9 +266,9 @@ def jaccard_links(docs: DataFrame, work: Work, k: int = 5, percent: int = 75) ->
     while not large.isEmpty():
         cells = work.save(_cells(large, sets, percent, level), "cells")
         links = links.union(cells.where("linked and point <> p").select(*_ordered("point", "p")))
-        inside = cells.select("region", "point", "inner", "was").join(held.drop("key"), "point")
+        inside = cells.select("region", "point", "inner", "was").join(held.select("point", "n"), "point")
         apart = _apart(inside, links, work)
-        near = _blocks(apart.where(~_divisible()), percent, work)
+        near = _blocks(apart.where(~_divisible()), held, percent, work)
         links = links.union(work.save(_joined(near, sets, percent), "links"))
         large, level = apart.where(_divisible()), level + 1
     return points.select("doc_id", "n", "point"), links
@@ -351,7 +354,7 @@ def _candidates(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> np.ndarray:
     return out
 
 
-def _blocks(large: DataFrame, percent: int, work: Work) -> DataFrame:
+def _blocks(large: DataFrame, held: DataFrame, percent: int, work: Work) -> DataFrame:
     """Points of regions that may link to one of another part there: rows (region, i, j, outer, point, n, part, inner, sketch).
 
     The points outside of the main part are held against all, block by block, by their bitmaps. No pairs leave a block.
@@ -362,6 +365,7 @@ def _blocks(large: DataFrame, percent: int, work: Work) -> DataFrame:
         may = _candidates(x, y, percent)
         return pd.concat([x[may.any(axis=1)], y[may.any(axis=0)]])
 
+    large = large.join(held.select("point", "sketch"), "point")
     outside, size, weight = F.col("outside"), F.col("size"), F.col("weight")
     outer = large.where("part <> main").withColumn("i", _dealt(_parts(outside, weight))).withColumn("j", _every(_parts(size, weight))).withColumn("outer", F.lit(True))
     every = large.withColumn("j", _dealt(_parts(size, weight))).withColumn("i", _every(_parts(outside, weight))).withColumn("outer", F.lit(False))
