@@ -225,7 +225,8 @@ def _apart(rows: DataFrame, links: DataFrame, work: Work) -> DataFrame:
     by_part = m.groupBy("region", "part").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     per = by_part.groupBy("region").agg(F.count("*").alias("parts"), F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("size"), F.sum("w").alias("weight")).where("parts > 1")
     per = per.select("region", F.col("top.part").alias("main"), (F.col("size") - F.col("top.c")).alias("outside"), "size", "weight")
-    return work.save(m.join(per, "region"), "apart")
+    # written first, so that a large region is split by the join
+    return work.save(m.join(work.save(per, "regions"), "region"), "apart")
 
 
 def jaccard_links(docs: DataFrame, work: Work, k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
