@@ -9,8 +9,10 @@ frames of the documents asked for. A plain zstandard decoder reads all ids in or
 
 Documents are dealt by ranges of their id, each range sorted and written by one task as files of bounded size, into the
 shared folder, first under another name and then moved, so that a repeated task does no harm. Equal ids are sorted by
-text. Null texts are empty and hold the end id only; null ids come first. Extra columns are ignored. Empty tables make
-no files.
+text, so repeated rows stand side by side, each with a frame. Null texts are empty and hold the end id only; null ids
+come first. Ids are integers; others are refused. Very long texts are one frame like others, split at white space into
+chunks that are encoded one by one. Strings of special tokens are taken as the library takes them. Extra columns are
+ignored. Empty tables make no files.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .work import Work
 
@@ -44,10 +47,11 @@ _MARKS = b".,!?;:|$*&#%"
 class Chunks:
     """Ids of whole texts, from the ids of the parts between ASCII white space, each encoded once and remembered.
 
-    For tokenizers that lower-case, drop white space and let no token span it, these are the ids of the whole text; ``whole``
-    encodes a text at once for comparison. Marks after a chunk's last letter or digit are encoded apart from it, which
-    gives the same ids for fewer different chunks. Memory is bounded: what hasn't been used since the last time that it
-    was full is forgotten.
+    For tokenizers that lower-case, drop white space and let no token span it, these are the ids of the whole text;
+    ``whole`` encodes a text at once, for comparison and for texts that hold the string of a special token. Marks after
+    a chunk's last letter or digit are encoded apart from it, which gives the same ids for fewer different chunks. Ids
+    are kept as bytes, little-endian unsigned 32-bit, so that a text's are joined and never unpacked. Memory is bounded:
+    what hasn't been used since the last time that it was full is forgotten.
     """
 
     def __init__(self, path: str):
@@ -55,16 +59,15 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True
         self._many = getattr(self._t, "encode_batch_fast", self._t.encode_batch)
-        self._known: dict[bytes, tuple[int, ...]] = {}
-        self._older: dict[bytes, tuple[int, ...]] = {}
+        self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
         pieces = self._t.get_vocab()
-        self._ints = list(range(max(pieces.values(), default=0) + 1))  # one object for each id
-        self._last = [False] * len(self._ints)  # ids that end a word, if the vocabulary marks them
+        self._last = [False] * (max(pieces.values(), default=0) + 1)  # ids that end a word, if the vocabulary marks them
         for piece, i in pieces.items():
             self._last[i] = piece.endswith("</w>")
         self._marked = any(self._last)
+        self._special = [t.content.lower().encode() for t in self._t.get_added_tokens_decoder().values()]
 
     _held: dict[str, Chunks] = {}
 
@@ -75,19 +78,19 @@ class Chunks:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def many(self, parts: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of parts without white space, not remembered."""
-        out: list[tuple[int, ...] | None] = [None] * len(parts)
-        texts = [p.decode() for p in parts]
+    def many(self, parts: list[bytes]) -> list[bytes]:
+        """Packed ids of parts without white space, not remembered."""
+        out: list[bytes | None] = [None] * len(parts)
+        texts = [p.decode(errors="replace") for p in parts]
         if self._marked:  # words of letters only go in one text, and are told apart by the ids that end a word
             plain = [i for i, t in enumerate(texts) if t.isalpha()]
             for k in range(0, len(plain), 1024):
                 at = plain[k : k + 1024]
                 got, word = [], []
                 for x in self._t.encode(" ".join([texts[i] for i in at]), add_special_tokens=False).ids:
-                    word.append(self._ints[x])
+                    word.append(x)
                     if self._last[x]:
-                        got.append(tuple(word))
+                        got.append(struct.pack(f"<{len(word)}I", *word))
                         word = []
                 if len(got) == len(at) and not word:
                     for i, ids in zip(at, got):
@@ -96,27 +99,32 @@ class Chunks:
         for k in range(0, len(rest), 4096):
             at = rest[k : k + 4096]
             for i, e in zip(at, self._many([texts[i] for i in at], add_special_tokens=False)):
-                out[i] = tuple(self._ints[x] for x in e.ids)
+                out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         return out
 
     def whole(self, text: str) -> list[int]:
         return self._t.encode(text, add_special_tokens=False).ids
 
-    def texts(self, batch: list[bytes]) -> Iterator[list[int]]:
+    def packed(self, batch: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text, packed."""
         for i in range(0, len(batch), 64):
-            split = [text.lower().split() for text in batch[i : i + 64]]
-            self._learn({p for parts in split for p in parts})
+            low = [text.lower() for text in batch[i : i + 64]]
+            split = [text.split() for text in low]
+            self._learn(set().union(*split))
             known = self._known
-            for parts in split:
-                out: list[int] = []
-                add = out.extend
-                for p in parts:
-                    add(known[p] if p in known else self._long(p))
-                yield out
+            for text, raw, parts in zip(low, batch[i : i + 64], split):
+                if any(x in text for x in self._special):
+                    ids = self.whole(raw.decode(errors="replace"))
+                    yield struct.pack(f"<{len(ids)}I", *ids)
+                    continue
+                try:
+                    yield b"".join(map(known.__getitem__, parts))
+                except KeyError:  # parts too long to be remembered
+                    yield b"".join([known[p] if p in known else self.many([p])[0] for p in parts])
 
-    def _long(self, part: bytes) -> tuple[int, ...]:
-        """The ids of a part that is too long to be remembered."""
-        return self.many([part])[0]
+    def texts(self, batch: list[bytes]) -> Iterator[list[int]]:
+        for raw in self.packed(batch):
+            yield np.frombuffer(raw, "<u4").tolist()
 
     def _learn(self, parts: set[bytes]) -> None:
         new = [p for p in parts if p not in self._known and len(p) <= LONGEST]
@@ -130,7 +138,7 @@ class Chunks:
                 known[p] = ids
                 continue
             stem = p.rstrip(_MARKS)
-            if len(stem) < len(p) and stem and stem.decode()[-1].isalnum():
+            if len(stem) < len(p) and stem and stem.decode(errors="replace")[-1].isalnum():
                 split.append((p, stem, p[len(stem) :]))
                 for x in split[-1][1:]:
                     if x not in known:
@@ -155,14 +163,15 @@ class SeekableWriter:
         self._ids: list[int | None] = []
         self.size = self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        raw = ids.astype("<u4").tobytes()
+    def add(self, doc_id: int | None, ids: np.ndarray | bytes) -> None:
+        """A document's ids: an array, or packed."""
+        raw = ids if isinstance(ids, bytes) else ids.astype("<u4").tobytes()
         data = self._c.compress(raw)
         self._out.write(data)
         self._entries.append((len(data), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self._ids.append(doc_id)
         self.size += len(data)
-        self.tokens += len(ids)
+        self.tokens += len(raw) // 4
 
     @property
     def frames(self) -> int:
@@ -222,13 +231,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, parts: int
 
     ``least`` orders the files: (range, number in it). It runs when the result is used; save the result.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("token files hold integer ids")
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def put(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, last = TaskContext.get().partitionId(), struct.pack("<I", end)
         chunks, (fs, base) = Chunks.of(tokenizer), store(folder)
         fs.create_dir(base, recursive=True)
         rows, w, tmp, n = [], None, None, 0
@@ -242,12 +253,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, parts: int
 
         for b in batches:
             texts = b.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()
-            for doc_id, ids in zip(b.column(0).to_pylist(), chunks.texts(texts)):
+            for doc_id, ids in zip(b.column(0).to_pylist(), chunks.packed(texts)):
                 if w is None:
                     tmp = f"{base}/.{uuid.uuid4().hex}"
                     w = SeekableWriter(fs.open_output_stream(tmp))
-                ids.append(end)
-                w.add(doc_id, np.array(ids, "<u4"))
+                w.add(doc_id, ids + last)
                 if w.size >= FILE_BYTES:
                     shut()
                     w, n = None, n + 1
