@@ -197,11 +197,11 @@ def held_out(of: int = 3, which: int = 1):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of)) == which
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, text): learned from the rows that aren't held out. Null ids aren't held out."""
-    docs = docs.select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, text) and the columns to keep: learned from the rows that aren't held out. Null ids aren't held out."""
+    docs = docs.select("doc_id", "text", "lang", *keep).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
     prototypes = learn(docs.where("not held_out").select("text", "lang"))
-    return predict(docs.select("doc_id", "held_out", "text"), prototypes)
+    return predict(docs.select("doc_id", "held_out", "text", *keep), prototypes)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .mixing import mix
+from .mixing import label_weights, mix
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    out = mix(docs.select("doc_id", "source", "text"), quality=label_weights(labels))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixing_sql(documents: str) -> str:
-    """copies of each row of a table of documents without repeated rows."""
+    """copies of each row of a table of documents without repeated rows, with the table of labels."""
     return rf"""
 with recursive d as (select *, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from {documents}),
-w as (select *, case when length(coalesce(text, '')) > 0 then 1 - cast(length(regexp_replace(text, '[A-Za-z\x20\x09-\x0D]|[^\x00-\x7F]', '', 'g')) as double) / length(text) else 0.0 end as share from d),
-k as (select *, -ln((cast(cast('0x' || substr(md5('7/' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as double) + 0.5) / 4503599627370496.0) / greatest(0.05, share * share) as key from w),
+q as (select doc_id, 0.1 + 0.9 * avg(quality) as labelled from labels where doc_id is not null group by doc_id),
+w as (select d.*, labelled, case when length(coalesce(text, '')) > 0 then 1 - cast(length(regexp_replace(text, '[A-Za-z\x20\x09-\x0D]|[^\x00-\x7F]', '', 'g')) as double) / length(text) else 0.0 end as share from d left join q on q.doc_id = d.doc_id),
+k as (select *, -ln((cast(cast('0x' || substr(md5('7/' || coalesce(cast(doc_id as varchar), '') || '/' || coalesce(source, '') || '/' || coalesce(text, '')), 1, 13) as bigint) as double) + 0.5) / 4503599627370496.0) / coalesce(labelled, greatest(0.05, share * share)) as key from w),
 s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as nth from k group by source),
 sw as (select *, cast(case nth % 3 when 0 then 3 when 1 then 1 else 2 end as double) as weight, 2.0 * source_size as cap, 1.5 * sum(source_size) over () as everything from s),
 fill(turn, source, source_size, weight, cap, target, stopped, pool) as (

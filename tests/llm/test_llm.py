@@ -186,6 +186,109 @@ def test_forest_recall():
     assert hit >= 0.9 * 20 * len(q)
 
 
+def test_forest_recall_at_production_parameters():
+    """A full shard of random directions: nothing closer than 60 degrees, the least favourable case."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((ann.SHARD, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, hit, most = x[::160], 0, 0
+    f = ann.Forest(x, 1.0)
+    for v, c in zip(q, f.candidates(q)):
+        s = x[c] @ v
+        hit += len(set(c[np.argsort(-s)[1:21]]) & set(np.argsort(-(x @ v))[1:21]))
+        most = max(most, len(c))
+    assert hit >= 0.9 * 20 * len(q) and most <= 0.0501 * len(x)
+
+
+def test_forest_stops_deep_where_neighbours_are_close():
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((32, 64))
+    x = np.repeat(centres, 256, axis=0) + 0.05 * r.standard_normal((32 * 256, 64))
+    f = ann.Forest(x, float(np.linalg.norm(x, axis=1).max()))
+    for i, (v, (c, s)) in enumerate(zip(x[::512], f.best(x[::512], 20))):
+        assert set(np.argsort(-(x @ v), kind="stable")[:20]) <= set(c)
+
+
+def test_nearest_over_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 2000)
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    r = np.random.default_rng(2)
+    x = r.standard_normal((5000, 24)) * r.uniform(0.5, 1.5, (5000, 1))
+    x[10::50] = x[0]
+    rows = [(i, [float(c) for c in v], "q", i, "b") for i, v in enumerate(x)] + [(20, [float(c) for c in x[20]], "q", 20, "b")] * 2 + [(None, [1.0] * 24, "q", 0, "b"), (-20, [2.0, 1.0], "q", 0, "b")]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>, score string, shard int, ids string"), F.col("vec_id") % 20 == 0).collect()
+    by = {}
+    for g in got:
+        by.setdefault(g.query_id, []).append((g.rank, -g.score, g.vec_id))
+    assert len(by) == 250 and -20 not in by
+    hit = 0
+    for q, mine in by.items():
+        mine.sort()
+        best = sorted((-float(x[i] @ x[q]), i) for i in range(5000) if i != q)[:20]
+        hit += len({i for _, i in best} & {i for _, _, i in mine})
+        assert all(abs(-float(x[i] @ x[q]) - s) < 1e-9 for _, s, i in mine)
+        if q != 20:
+            assert [m[0] for m in mine] == list(range(1, 21)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+    assert hit >= 0.9 * 20 * len(by)
+    with pytest.raises(TypeError):
+        ann.nearest(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"), F.lit(True))
+
+
+def test_jaccard_join_divides_regions_at_production_parameters(spark):
+    """Near copies on both sides of the radius, more than a block holds, so that regions are divided into cells."""
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(jaccard.BLOCK + 700):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 2, 3])):
+            w[r.randrange(len(w))] = f"x{r.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    divided = []
+    cells = jaccard._cells
+    jaccard._cells = lambda *a: divided.append(1) or cells(*a)
+    try:
+        got = {tuple(x) for x in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    finally:
+        jaccard._cells = cells
+    assert got == fast_components(rows) and divided
+
+
+def fast_components(rows):
+    """Brute force over all pairs that share a shingle."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    names, parent = {}, {i: i for i in sets}
+    for i, s in sets.items():
+        for g in s:
+            names.setdefault(g, []).append(i)
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, s in sets.items():
+        shared = {}
+        for g in s:
+            for j in names[g]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {(i, len(s), root(i)) for i, s in sets.items()}
+
+
+def test_jaccard_join_of_long_texts_nulls_and_names(spark):
+    long = " ".join(f"l{i}" for i in range(250_000))
+    rows = [(1, long), (2, long + " tail"), (None, "a b c d e f g"), (3, "a b c d e f g"), (None, "alone in the world it is")]
+    docs = frame(spark, rows).withColumns({n: F.lit(1) for n in ("point", "key", "n", "part", "set", "opens")})
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(1, 249_996, 1), (2, 249_997, 1), (None, 3, 3), (3, 3, 3), (None, 2, None)], key=str)
+
+
 def test_warc():
     block = b"HTTP/1.1 404 Gone\r\nContent-Type: text/html; charset=latin-1\r\nX: y\r\n\r\n<html><head><title>T&amp;t</title><style>p{}</style></head><p>caf\xe9<script>no</script><!-- no --> a<br>b</p>"
     meta, conv = warc.derive("<urn:x>", "http://a/", "2020-01-01T00:00:00Z", block)
@@ -234,6 +337,32 @@ def test_token_files(spark, tmp_path):
     assert seekable.token_rows(spark.createDataFrame([], EMPTY), path).count() == 0
 
 
+def test_ids_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = seekable.vocabulary("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "<|StartOfText|> x <|startoftext|>", "<| endoftext |>", "don't o'clock 'S", "x" * 300 + " y", "w7,! $5.00? " * 400, "\u00a0nb\u2003em", "e\u0301 \u0301"]
+    assert list(seekable.Chunks(path).texts([x.encode() for x in texts])) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    with pytest.raises(TypeError):
+        seekable.token_rows(spark.createDataFrame([("a", "b")], "doc_id string, text string"), path)
+
+
+def test_token_files_of_long_texts_and_small_files(spark, monkeypatch):
+    path = seekable.vocabulary("word_bpe_49k.json")
+    monkeypatch.setattr(seekable, "FILE_BYTES", 200)
+    rows = [(i, " ".join(f"w{i} x{j}" for j in range(50))) for i in range(40)] + [(90, "long words " * 60_000), (None, "n"), (None, None)]
+    files, folder = seekable.token_files(frame(spark, rows), path)
+    assert files.count() > files.select("part").distinct().count()
+    c = seekable.Chunks(path)
+    got = {r.doc_id: (r.start, r.n_tokens) for r in seekable.read(files, folder).collect() if r.doc_id is not None}
+    start = 1 + 2  # the null ids' rows
+    for i, text in rows[:41]:
+        n = len(c.whole(text)) + 1
+        assert got[i] == (start, n)
+        start += n
+
+
 def test_a_reader_reads_one_frame_and_checks_it(tmp_path):
     f = tmp_path / "x.zst"
     w = seekable.SeekableWriter(f.open("wb"))
@@ -299,6 +428,37 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_splits_equal_rows_and_keeps_columns(spark):
+    rows = [(i, " ".join("w" for _ in range(10)), "a") for i in range(50)] + [(99, "ten " * 10, "a")] * 5000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, share=1.4).collect()
+    assert len(got) == len(rows) and sum(r.copies * r.size for r in got) == 70700 and got[0].target == 70700
+    assert {r.copies for r in got if r.doc_id != 99} <= {1, 2} and {r.copies for r in got if r.doc_id == 99} == {1, 2}
+    names = "_row _key _place _left _at _in _whole _s __x row n key size target copies source_size".split()
+    wide = docs.limit(30).withColumns({n: F.lit(n) for n in names})
+    out = mixing.mix(wide)
+    assert out.count() == 30 and set(names) <= set(out.columns) and out.select("_s", "row").distinct().collect() == [("_s", "row")]
+    one = spark.createDataFrame([(None, "x y", "b"), (None, "x z", "b"), (None, None, None)], docs.schema)
+    assert sorted(r.size for r in mixing.mix(one).collect()) == [0, 2, 2]
+
+
+def test_mixing_measures():
+    import pyarrow as pa
+
+    rows = ["", None, "a b\u00e9 1!", " x", "y ", "\n\t", "\u4e2d " * 5, "q" * 5_000_000]
+    size, share = mixing.measures(pa.array(rows))
+    assert size.tolist() == [len((t or "").encode().split()) for t in rows]
+    odd = [sum(c.isascii() and not c.isalpha() and c not in " \t\n\x0b\x0c\r" for c in t or "") for t in rows]
+    assert share.tolist() == [1 - o / len(t) if t else 0.0 for o, t in zip(odd, rows)]
+
+
+def test_mixing_prefers_quality(spark):
+    docs = spark.createDataFrame([(i, "word " * 10, "a") for i in range(2000)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    got = mixing.mix(docs, share=0.3, quality=mixing.label_weights(labels)).where("copies > 0")
+    assert 0.8 < got.agg(F.avg((F.col("doc_id") % 2))).first()[0] and 590 <= got.count() <= 600
+
+
 @pytest.mark.parametrize("module", [near, benchmark, mixture, urls])
 def test_sql(spark, module):
     con = duckdb.connect()
@@ -323,7 +483,36 @@ def test_pipeline(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {x[0] for x in contamination([(d[0], d[1]) for d in docs], items) if x[4]}
     docs = [d for d in docs if d[0] not in bad]
-    taken = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(docs, EMPTY)).collect()}
+    taken = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(docs, EMPTY), quality=mixing.label_weights(spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
     tok = seekable.Chunks(seekable.vocabulary("word_bpe_49k.json"))
     want = sorted((d[0], len(tok.whole(d[1])) + 1) for d in docs for _ in range(taken[d[0]]))
     assert sorted((r.doc_id, r.n_tokens) for r in cp.run(spark, SF).collect()) == want
+
+
+def test_pipeline_stages_handle_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    base = " ".join(f"word{i}" for i in range(60))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _ string, size int, copies string, key long, nth map<string,int>"
+    rest = ("x", 3, "c", 7, {"a": 1})
+    rows = [(1, base, "en", "a", 1, *rest)] * 3 + [(1, base + " z", "en", "a", 1, *rest), (None, base + " y", None, None, None, *rest), (None, None, None, None, None, *rest), (None, "12 34", "en", "b", 2, *rest)]
+    rows += [(None, f"only here {i} and there", None, "b", 3, *rest) for i in range(3)] + [(7, "an item of the benchmark stands here in full", "en", "b", 4, *rest), (7, "nothing of that kind", "de", "b", 4, *rest)]
+    d = str(tmp_path)
+    spark.createDataFrame([(3, "item of the benchmark stands here")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.createDataFrame(rows, kind)
+    one = cp.language_id(spark, docs, d)
+    assert one.columns == docs.columns and one.count() == len(rows) - 2
+    two = cp.near_duplicates(spark, one, d)
+    assert two.columns == docs.columns and two.where("doc_id = 1").count() == 1 and two.count() == 6
+    three = cp.clean_of_benchmarks(spark, two, d)
+    assert sorted(r.text for r in three.collect() if r.doc_id == 7) == ["nothing of that kind"] and three.count() == 5
+    four = cp.mixture(spark, three, d)
+    assert four.columns == docs.columns and {(r.size, r.copies, r._) for r in four.collect()} == {(3, "c", "x")}
+    assert cp.token_ids(spark, four, d).count() == four.count() > 0
+    empty = docs.limit(0)
+    for name, stage in cp.STAGES:
+        out = stage(spark, empty, d)
+        assert out.count() == 0, name
+        if name != "token_ids":
+            assert out.columns == docs.columns
