@@ -413,6 +413,63 @@ def test_attention_gives_probabilities_and_sees_no_future():
     assert abs(total - 1) < 1e-4
 
 
+def test_attention_looks_up_what_it_learns():
+    r = np.random.default_rng(0)
+    net = attention.Attention(np.full(attention.CLASSES, attention.MEMBERS))
+    texts = [(r.integers(0, attention.ROWS, n), r.integers(0, attention.CLASSES * attention.MEMBERS, n)) for n in (1, 15, 16, 17, 90)]
+    x, lead, y, real = attention.layout(texts)
+    assert np.allclose(net._read(x, lead), net._forward(x, lead)[-1], atol=1e-4)
+    loss, g = net.gradients(x, lead, y, real)
+    assert math.isclose(loss, -net.log_probabilities(x, lead, y, real).mean(), rel_tol=1e-4)
+    for name in ("e", "q", "v", "bias", "u2"):
+        w, at = getattr(net, name), np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        old, losses = w[at], []
+        for step in (0.02, -0.02):
+            w[at] = old + step
+            losses.append(net.gradients(x, lead, y, real)[0])
+        w[at] = old
+        assert math.isclose((losses[0] - losses[1]) / 0.04, g[name][at], rel_tol=0.05, abs_tol=1e-4)
+    again = attention.Attention.of(net.state())
+    again.load(net.flat())
+    assert np.array_equal(again.flat(), net.flat())
+
+
+def test_language_model_learns_from_all_training_texts(spark):
+    path = seekable.vocabulary("word_bpe_49k.json")
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["red fox ran", "blue bird sang", "old man sat"]) for _ in range(60))) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1002, "the " * 150_000), (1003, "fox red ran man bird " * 36), (1004, "red fox ran " * 60), (1004, "red fox ran " * 60), (None, "x")]
+    docs = frame(spark, rows).withColumn("held_out", F.coalesce(langid.held_out(7, 2), F.lit(False)))
+    cut = lm.windows(docs.where("doc_id < 1000"), path, 49408)
+    n = cut.agg(F.sum(F.length("ids") / 4)).first()[0]
+    all_ids = sum(len(x) + 1 for x in seekable.Chunks(path).texts([t.encode() for i, t in rows[:300]]))
+    assert 0.03 * all_ids < n < 0.1 * all_ids
+    got = {}
+    for x in lm.score(docs).collect():
+        got.setdefault(x.doc_id, []).append(x.score)
+    assert len(got[1004]) == 2 and got[1004][0] == got[1004][1] and len(got[None]) == 1
+    assert got[1004][0] > got[1003][0]  # known order of words against another, of the same words
+    empty = docs.limit(0)
+    assert lm.score(empty).count() == 0
+    untaught = lm.score(docs.where("held_out")).collect()
+    assert len(untaught) == docs.where("held_out").count() and all(x.train_tokens == 0 and x.score <= 0 for x in untaught)
+
+
+def test_windows_score_each_token_once():
+    counts = np.arange(1, 200)
+    voc = attention.Vocabulary(counts)
+    model = lm.Model(voc, attention.Attention(voc.sizes()))
+    r = np.random.default_rng(1)
+    ids = r.integers(0, 198, 100)
+    whole = np.append(ids, voc.end)
+    total = 0.0
+    for i in range(len(whole)):  # each token by itself, with the block before its own and its block up to it as context
+        lo = max(0, i // attention.STRIDE * attention.STRIDE - attention.STRIDE)
+        x, y = lm.paired(voc, whole[lo : i + 1], int(whole[lo - 1]) if lo else -1)
+        total += model.net.log_probabilities(*attention.layout([(x, y)]))[-1] + voc.share[whole[i]]
+    assert math.isclose(model.score([ids])[0], total / math.log(10), rel_tol=1e-4)
+
+
 def test_mixing(spark):
     r = random.Random(5)
     rows = [(i, " ".join("w" for _ in range(r.randrange(1, 40))), r.choice(["a", "a", "a", "b", "ç", None])) for i in range(400)] + [(900, None, "a"), (901, "", "d"), (5, "x y", "b"), (5, "x y", "b")]
