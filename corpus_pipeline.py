@@ -1,48 +1,83 @@
 """A pipeline over documents: STAGES in order, each written as Parquet and read again as the next one's input.
 
-1. language id: documents whose text has no letter or resembles no learned language go;
-2. n-gram Jaccard join: of each group of linked documents, the one with the least id stays (of rows with that id, all);
+1. language id: documents that are judged `und` go, that is those whose text is null or has no letter;
+2. n-gram Jaccard join: of each group of linked documents one stays, the one with the least id (a null id is the
+   greatest, and of several texts with that id the one with the least hash); equal rows are one;
 3. decontamination: contaminated documents go;
 4. mixing: each document stays as often as the mix takes it, that is 0, 1 or 2 times;
 5. token ids: what is left is written as seekable token files; the rows are read back from them.
+
+Decisions hold for rows, told apart by a hash of all their columns, so null and repeated ids do no harm. What a stage
+drops is joined with the documents, not what it keeps, so few rows meet the texts. Stages 1 to 4 return the columns that
+they got, whatever further ones there are. Null texts and empty ones go in stage 1. Very long texts are read whole in
+each stage. Empty tables pass all stages and give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from sievelight.llm.decontaminate import decontaminate
 from sievelight.llm.jaccard import jaccard_components
 from sievelight.llm.langid import identify
-from sievelight.llm.mixing import mix
+from sievelight.llm.mixing import OUT, label_weights, mix
 from sievelight.llm.seekable import token_rows, vocabulary
 from sievelight.llm.work import Work
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def _fresh(docs: DataFrame, name: str = "_") -> str:
+    """A name that no column has."""
+    while any(c.lower() == name for c in docs.columns):
+        name += "_"
+    return name
+
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a hash of their row, and its name."""
+    name = _fresh(docs)
+    return docs.withColumn(name, F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))])), name
 
-def _kept(docs: DataFrame, by: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``by``."""
-    return docs.join(by.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+def _without(docs: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """The rows whose hash isn't in ``keys`` (one column)."""
+    return docs.join(keys.toDF(name), name, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, identify(docs).where("lang_pred <> 'und'"))
+    rows, key = _keyed(docs)
+    judged = identify(rows.select("doc_id", "text", "lang", F.col(key).alias("key")), keep=("key",))
+    return _without(rows, key, judged.where("lang_pred = 'und'").select("key").distinct()).drop(key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, jaccard_components(docs).where("doc_id <=> component_id"))
+    work = Work(spark)
+    rows, key = _keyed(docs)
+    parts = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), work=work).groupBy("doc_id").agg(F.first("component_id").alias("part"), F.count("*").alias("n"))
+    parts = parts.join(rows.select(F.col(key).alias("doc_id"), F.col("doc_id").alias("id")).distinct(), "doc_id")
+    parts = work.save(parts.select(F.col("doc_id").alias("key"), "part", "n", F.struct(F.col("id").isNull(), "id", "doc_id").alias("order")), "groups")
+    first = parts.groupBy("part").agg(F.min("order").alias("least"))
+    gone = parts.join(first, "part").where("order <> least").select("key")
+    kept = _without(rows, key, gone)
+    twice = parts.where("n > 1").select("key")
+    if not twice.isEmpty():
+        once = rows.dropDuplicates([key]).join(twice.toDF(key), key, "left_semi")
+        kept = _without(kept, key, twice).unionByName(_without(once, key, gone))
+    return kept.drop(key)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, judged.groupBy("doc_id").agg(F.bool_or("contaminated").alias("bad")).where("not bad"))
+    rows, key = _keyed(docs)
+    judged = decontaminate(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, key, judged.where("contaminated").select("doc_id").distinct()).drop(key)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mix(docs).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_")).drop("_")
+    own = {c: _fresh(docs, f"own_{c}") for c in docs.columns if c in OUT}
+    taken = mix(docs.withColumnsRenamed(own), quality=label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))).where("copies > 0")
+    nth = _fresh(docs, "nth")
+    back = taken.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(nth))
+    return back.drop(nth)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
