@@ -37,7 +37,7 @@ BINS = 4096
 OUT = ("size", "source_size", "target", "copies")
 #: Copies of one row that a task makes at a time.
 COPIES = 4096
-_SPACE, _ODD = np.zeros(256, bool), np.zeros(256, np.int64)
+_SPACE, _ODD = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 for _c in range(128):
     _ODD[_c] = not (chr(_c).isalpha() or _SPACE[_c])
@@ -48,18 +48,18 @@ def measures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf, at = texts(column)
     size, share = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1)
     i = 0
-    while i < len(size):  # some MB at a time
-        j = min(len(size), max(i + 1, int(np.searchsorted(at, at[i] + (1 << 22), "right")) - 1))
-        part, begin = buf[at[i] : at[j]], at[i:j] - at[i]
+    while i < len(size):  # about a MB at a time, so that what is held stays small
+        j = min(len(size), max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), "right")) - 1))
+        part, ends = buf[at[i] : at[j]], at[i : j + 1] - at[i]
         if len(part):
             first = ~_SPACE[part]
-            first[1:] &= _SPACE[part[:-1]] | np.isin(np.arange(1, len(part)), begin) if len(begin) > 1 else _SPACE[part[:-1]]
-            ends = at[i + 1 : j + 1] - at[i]
-            run = lambda v: np.append(0, np.cumsum(v, dtype=np.int64))
-            total = lambda c: c[ends] - c[begin]
-            size[i:j] = total(run(first))
-            n = total(run((part & 0xC0) != 0x80))
-            share[i:j] = np.where(n > 0, 1 - total(run(_ODD[part])) / np.maximum(n, 1), 0.0)
+            word = first[ends[:-1][ends[:-1] < len(part)]]
+            first[1:] &= _SPACE[part[:-1]]
+            first[ends[:-1][ends[:-1] < len(part)]] = word  # a text begins anew
+            total = lambda v: np.diff(np.append(np.int32(0), np.cumsum(v, dtype=np.int32))[ends])
+            size[i:j] = total(first)
+            n = total((part & 0xC0) != 0x80).astype(float)
+            share[i:j] = np.where(n > 0, 1 - total(_ODD[part]) / np.maximum(n, 1), 0.0)
         i = j
     return size, share
 
