@@ -39,7 +39,7 @@ SKIPPABLE, IDS, SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 #: A file is closed once it holds so many bytes; one document more may follow.
 FILE_BYTES = 128 << 20
 #: Chunks of text whose ids a worker remembers in each of two generations, and the longest that it remembers.
-REMEMBERED, LONGEST = 1 << 19, 64
+REMEMBERED, LONGEST = 1 << 17, 64
 #: Marks that, after a letter or digit, are a token apart from it.
 _MARKS = b".,!?;:|$*&#%"
 
