@@ -47,7 +47,7 @@ from .work import Work
 #: Slots of the table of levels sent to the workers, 4 MB whatever the data; slots that clash cost work, not links.
 LEVEL_BITS = 22
 #: Shingles that a counting task holds at once, and most shingles that are marked as frequent.
-HELD, FREQUENT = 1 << 22, 1 << 17
+HELD, FREQUENT = 1 << 21, 1 << 17
 #: Points of a region that is joined pair by pair; pivots of a region that is divided; points and shingles of a block.
 LEAF, PIVOTS, BLOCK, HEAVY = 64, 8, 1024, 1 << 20
 
