@@ -68,5 +68,10 @@ TRANSFER_REPORT_CONTEXT = (
     """
 )
 
+#: Keys of a JSON document whose values name a destination, as one pattern; hyphens count as underscores.
+DESTINATION_KEYS = "to|recipients?|destination|payee|beneficiary|payto|payout[_-]recipients?|receiving[_-](?:address|wallet)"
+#: What stands for a value that was taken out.
+REDACTED = ("[redacted]", "[redacted secret]")
+
 #: Characters of context on either side of an address.
 CONTEXT = 80

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Two-sided and one-sided normal quantiles at 95 %.
 Z_TWO, Z_ONE = 1.959963984540054, 1.6449
 
@@ -59,12 +61,12 @@ def cosine_sparse(a, b) -> Column:
 
 def cosine_dense(a, b) -> Column:
     """Cosine of arrays, each scaled by its largest component first, within -1 and 1; 0 for a zero vector."""
-    scale = lambda v: F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    a, b = _c(a), _c(b)
-    scaled = lambda v: F.transform(v, lambda t: F.coalesce(F.try_divide(t.cast("double"), scale(v)), F.lit(0.0)))
-    x, y = scaled(a), scaled(b)
+    plain = lambda v: F.transform(v, lambda x: x.cast("double"))
+    scaled = lambda v: let(plain(v), lambda p: let(F.struct(p.alias("v"), F.array_max(F.transform(p, F.abs)).alias("most")), lambda s: F.transform(s["v"], lambda t: F.coalesce(F.try_divide(t, s["most"]), F.lit(0.0)))))
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))))), F.lit(0.0))
+    cosine = lambda p: F.try_divide(dot(p["x"], p["y"]), F.sqrt(dot(p["x"], p["x"])) * F.sqrt(dot(p["y"], p["y"])))
+    value = let(F.struct(scaled(_c(a)).alias("x"), scaled(_c(b)).alias("y")), cosine)
+    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)), F.lit(0.0))
 
 
 def jaccard(a, b) -> Column:

@@ -16,7 +16,7 @@ CREDENTIALS = (
     r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])",
 )
 BRANDS = ("amazon", "apple", "binance", "coinbase", "github", "google", "metamask", "microsoft", "okx", "paypal")
-LOOKALIKES = ("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u04bb\u04cf\u03b1\u03b5\u03b9\u03ba\u03bd\u03bf\u03c1\u03c4\u03c5", "aeopcyxijshlaeikvoptu")
+LOOKALIKES = ("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u04bb\u04cf\u03b1\u03b5\u03b9\u03ba\u03bd\u03bf\u03c1\u03c4\u03c5\u03c7", "aeopcyxijshlaeikvoptux")
 LINK = (
     r"(?i)(?:\b(?:https?://[^\s<>'\")]+|file:[^\s<>'\")]*|data:[^\s<>'\")]+)"
     r"|(?<![\w@.-])www\.[^\s<>'\")]+"
@@ -25,8 +25,13 @@ LINK = (
 )
 
 
+BARE_SHORTENER = r"(?i)(?<![\w@./-])(?:" + "|".join(h.replace(".", r"\.") for h in SHORTENERS) + r")/[^\s<>'\")]+"
+
+
 def urls(text: str | Column) -> Column:
-    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit("(?U)" + LINK), F.lit(0))
+    """Links of a text, then shorteners that stand there without a scheme."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.concat(*[F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)) for p in (LINK, BARE_SHORTENER)])
 
 
 def host(url: Column) -> Column:
