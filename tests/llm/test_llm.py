@@ -440,10 +440,11 @@ def test_language_model_learns_from_all_training_texts(spark):
     rows = [(i, " ".join(r.choice(["red fox ran", "blue bird sang", "old man sat"]) for _ in range(60))) for i in range(300)]
     rows += [(1000, None), (1001, ""), (1002, "the " * 150_000), (1003, "fox red ran man bird " * 36), (1004, "red fox ran " * 60), (1004, "red fox ran " * 60), (None, "x")]
     docs = frame(spark, rows).withColumn("held_out", F.coalesce(langid.held_out(7, 2), F.lit(False)))
-    cut = lm.windows(docs.where("doc_id < 1000"), path, 49408)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    cut = lm.windows(docs.where("doc_id < 1003"), path, *none, 49408)
     n = cut.agg(F.sum(F.length("ids") / 4)).first()[0]
-    all_ids = sum(len(x) + 1 for x in seekable.Chunks(path).texts([t.encode() for i, t in rows[:300]]))
-    assert 0.03 * all_ids < n < 0.1 * all_ids
+    every = sum(len((t or "").split()) + 1 for i, t in rows[:303])
+    assert 0.5 * every / lm.RATE < n < 2 * every / lm.RATE
     got = {}
     for x in lm.score(docs).collect():
         got.setdefault(x.doc_id, []).append(x.score)
