@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelight.functions import rules as R
 from sievelight.functions.text import let
 
 DETECTION = "struct<category:string,match:string,confidence:double,layer:int>"
-_CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Cs Co".split()
 #: Matches kept of a category.
 MOST = 100
 
@@ -46,14 +51,30 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+@lru_cache(maxsize=1)
+def _category_numbers() -> np.ndarray:
+    """The general category of each code point, as a number."""
+    names: dict[str, int] = {}
+    return np.array([names.setdefault(unicodedata.category(chr(i)), len(names)) for i in range(sys.maxunicode + 1)], np.uint8)
+
+
+@F.pandas_udf(T.DoubleType())
+def _entropy(s: pd.Series) -> pd.Series:
+    table, out = _category_numbers(), []
+    for t in s:
+        if not t:
+            out.append(None if t is None else 0.0)
+            continue
+        points = np.frombuffer(t.encode("utf-8"), np.uint8) if t.isascii() else np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+        n = np.bincount(table[points])
+        p = n[n > 0] / len(points)
+        out.append(float(-(p * np.log2(p)).sum()) + 0.0)
+    return pd.Series(out, dtype="float64")
+
+
 def entropy(text: str | Column) -> Column:
-    """Shannon entropy, in bits, of the general categories of a text's characters."""
-    t = _c(text)
-    n = F.length(t)
-    shares = F.array(*[F.regexp_count(t, F.lit(r"\p{%s}" % c)).cast("double") / n for c in _CATEGORIES])
-    term = lambda p: F.when(p > 1e-12, p * F.log2(p)).otherwise(0.0)
-    total = lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x)
-    return F.when(n > 0, let(shares, lambda s: -total(F.transform(s, term)) - term(1 - total(s)))).otherwise(0.0)
+    """Shannon entropy, in bits, of the general categories of a text's characters: one pass over its code points."""
+    return F.coalesce(_entropy(_c(text)), F.lit(0.0))
 
 
 def invisible_ratio(text: str | Column) -> Column:

@@ -180,16 +180,7 @@ def jn_leak_contain(spark, d):
 
 @query("jn_leak_est")
 def jn_leak_est(spark, d):
-    """All candidates against the held-out table, which is broadcast after a check of its size, without any pruning."""
-    from sievelight.functions.stats import agreement
-
-    sig = lambda df, k: df.select(k, tx.minhash(tx.grams(tx.fold_words("text"), 5)).alias("sig" + k))
-    held = table(spark, d, "benchmark")
-    if held.count() > 5000:
-        raise ValueError("the held-out table is too large for comparison with all rows")
-    j = sig(_docs(spark, d), "doc_id").crossJoin(F.broadcast(sig(held, "item_id")))
-    est = agreement("sigdoc_id", "sigitem_id")
-    return j.groupBy("doc_id").agg(F.max(F.struct(est.alias("e"), (-F.col("item_id")).alias("i"))).alias("x")).select("doc_id", (-F.col("x.i")).alias("item_id"), F.col("x.e").alias("estimate"))
+    return near.best_estimates(_docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 _PAIRS = f"with {_sets('a', 'documents', 'doc_id', 5)}, p as (select a.k as a, b.k as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as m from a join a b on a.g = b.g and a.k < b.k group by a.k, b.k), near as (select a, b, cast(m as double) / (na + nb - m) as jaccard from p where cast(m as double) / (na + nb - m) >= 0.8)"
@@ -203,7 +194,10 @@ def jn_lsh(spark, d):
 @query("ml_gate_bc", _PAIRS.replace("with ", "with recursive ", 1) + ", e as (select a, b from near union select b, a from near), r(k, c) as (select doc_id, doc_id from documents union select e.b, r.c from r join e on e.a = r.k) select k as doc_id, min(c) as cluster from r group by k")
 def ml_gate_bc(spark, d):
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp()}")
     docs = _docs(spark, d)
     return near.clusters(near.similar_pairs(docs, "doc_id"), docs, "doc_id")
 
