@@ -75,3 +75,23 @@ def seed_run(words: Column, listed: Column, least: int = 12) -> Column:
     """Whether ``least`` words in a row are all listed."""
     step = lambda a, w: F.when(F.array_contains(listed, w), F.struct((a["run"] + 1).alias("run"), F.greatest(a["most"], a["run"] + 1).alias("most"))).otherwise(F.struct(F.lit(0).alias("run"), a["most"].alias("most")))
     return F.aggregate(words, F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")), step, lambda a: a["most"] >= least)
+
+
+#: IPv4 addresses that aren't public, and IPv6 literals that are.
+NOT_PUBLIC = (
+    r"^(?:(?:0|10|127)\.[0-9]+\.[0-9]+\.[0-9]+|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.[0-9]+\.[0-9]+|169\.254\.[0-9]+\.[0-9]+"
+    r"|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]+\.[0-9]+|192\.168\.[0-9]+\.[0-9]+|192\.0\.[02]\.[0-9]+|198\.1[89]\.[0-9]+\.[0-9]+|198\.51\.100\.[0-9]+"
+    r"|203\.0\.113\.[0-9]+|(?:22[4-9]|23[0-9]|24[0-9]|25[0-5])\.[0-9]+\.[0-9]+\.[0-9]+)$"
+)
+PUBLIC_V6 = r"^\[[23][0-9a-f]{3}:"
+
+
+def refused(url: str | Column) -> Column:
+    """Why a url may not be fetched: scheme, credentials, host, blocked (an address that isn't public, or the machine
+    itself); null if it may. Names are not resolved."""
+    u = F.col(url) if isinstance(url, str) else url
+    authority = F.regexp_extract(u, r"^[A-Za-z]+://([^/?#]*)", 1)
+    name = F.lower(F.regexp_extract(F.regexp_replace(authority, r"^.*@", ""), r"^(\[[^\]]*\]|[^:]*)", 1))
+    inner = name.rlike(NOT_PUBLIC) | (name.startswith("[") & (~name.rlike(PUBLIC_V6) | name.startswith("[2001:db8:"))) | name.isin("localhost") | legacy_ip(name)
+    out = F.when(~F.lower(u).rlike("^https?://") | u.isNull(), "scheme").when(authority.contains("@"), "credentials").when(name == "", "host")
+    return out.when(inner, "blocked")

@@ -1,5 +1,5 @@
 """The library's queries."""
 
-from . import analysis, base, policies, relational, scalars, screening, streams, texts
+from . import analysis, base, policies, relational, scalars, screening, stores, streams, texts
 
 QUERIES, SQL = base.QUERIES, base.SQL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,44 @@ def exposition(metrics: DataFrame) -> DataFrame:
 def first_seen(pages: DataFrame, key: str, page: str, pos: str) -> DataFrame:
     """A paged capture's rows, each key once, by first page and position."""
     return pages.groupBy(key).agg(F.min(F.struct(page, pos)).alias("at")).select(key, f"at.{page}", f"at.{pos}")
+
+
+def parse_jsonl(lines: DataFrame, schema: str, line: str = "line") -> DataFrame:
+    """Rows of JSON lines that are held in a column; blank lines are skipped, a malformed one fails the query with its text."""
+    row = F.from_json(line, schema)
+    kept = lines.where(F.trim(line) != "").select(F.col(line).alias("line"), row.alias("row"))
+    ok = F.try_parse_json("line").isNotNull() & F.col("row").isNotNull()
+    return kept.select(F.when(ok, F.col("row")).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.left("line", F.lit(200))))).alias("row")).select("row.*")
+
+
+def release(tables: dict[str, DataFrame], root: str, least: dict[str, int] | None = None) -> str:
+    """Writes several tables as one version below ``root`` and makes it the current one; returns its folder.
+
+    All tables are written to a folder of their own and counted as they are read again; only then the pointer is
+    replaced, by a rename. Until that moment readers see the version before, whole, and after a failure too.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{version}/{name}")
+    for name in tables:
+        n = spark.read.parquet(f"{version}/{name}").count()
+        if n < (least or {}).get(name, 0):
+            raise ValueError(f"{name} has {n} rows, of {least[name]} at least")
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(f"{version}/pointer")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, current, old = path(f"{version}/pointer"), path(f"{root.rstrip('/')}/current"), path(f"{version}/before")
+    fs = current.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(current):
+        fs.rename(current, old)
+    if not fs.rename(new, current):
+        if fs.exists(old):
+            fs.rename(old, current)
+        raise OSError("the pointer could not be replaced")
+    return version
+
+
+def released(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the current version."""
+    version = spark.read.text(f"{root.rstrip('/')}/current").first().value
+    return spark.read.parquet(f"{version}/{name}")
