@@ -95,3 +95,15 @@ def refused(url: str | Column) -> Column:
     inner = name.rlike(NOT_PUBLIC) | (name.startswith("[") & (~name.rlike(PUBLIC_V6) | name.startswith("[2001:db8:"))) | name.isin("localhost") | legacy_ip(name)
     out = F.when(~F.lower(u).rlike("^https?://") | u.isNull(), "scheme").when(authority.contains("@"), "credentials").when(name == "", "host")
     return out.when(inner, "blocked")
+
+
+def seed_phrases(words: Column, listed: Column, size: int = 12) -> Column:
+    """Runs of ``size`` listed words in a row, one after another, without overlap: array of phrases."""
+    none = F.array().cast("array<string>")
+
+    def step(a: Column, w: Column) -> Column:
+        run = F.when(F.array_contains(listed, w), F.concat(a["run"], F.array(w))).otherwise(none)
+        full = F.size(run) == size
+        return F.struct(F.when(full, none).otherwise(run).alias("run"), F.when(full, F.concat(a["out"], F.array(F.array_join(run, " ")))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(words, F.struct(none.alias("run"), none.alias("out")), step, lambda a: a["out"])

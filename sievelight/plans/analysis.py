@@ -191,3 +191,23 @@ def ml_history(spark, d):
     """The latest recorded result of each kind in an append-only table."""
     e = table(spark, d, "events").groupBy("event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
     return e.select("event_type", "m.event_id", "m.value")
+
+
+LISTED = ("abandon", "ability", "able", "about", "above", "absent", "absorb", "abstract", "absurd", "abuse", "access", "accident", "account", "accuse")
+_WORDS = f"(select doc_id, regexp_extract_all(lower(text || ' ' || case doc_id % 3 when 0 then '{' '.join(LISTED[:12])}' when 1 then '{' '.join(LISTED * 2)}' else '{' '.join(LISTED[:11])}' end), '\\b[a-z]{{3,8}}\\b') as w from documents where text is not null)"
+
+
+@query(
+    "wn_rejoin",
+    f"""with p as (select doc_id, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from {_WORDS}), hit as (select doc_id, i, i - row_number() over (partition by doc_id order by i) as g from p where w in {LISTED}),
+n as (select doc_id, sum(c // 12) as n from (select doc_id, g, count(*) as c from hit group by doc_id, g) group by doc_id) select d.doc_id, cast(coalesce(n.n, 0) as int) as phrases from {_WORDS} d left join n on n.doc_id = d.doc_id""",
+)
+def wn_rejoin(spark, d):
+    """Phrases of twelve listed words in a row; some are added to each text."""
+    from sievelight.operators.links import seed_phrases
+
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, " ".join(LISTED[:12])).when(k == 1, " ".join(LISTED * 2)).otherwise(" ".join(LISTED[:11]))
+    w = F.regexp_extract_all(F.lower(F.concat(F.col("text"), F.lit(" "), said)), F.lit(r"\b[a-z]{3,8}\b"), F.lit(0))
+    found = seed_phrases(w, F.array(*[F.lit(x) for x in LISTED]))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(found).alias("phrases"))

@@ -183,6 +183,14 @@ def jn_leak_est(spark, d):
     return near.best_estimates(_docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
+def _checkpoints(spark) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp()}")
+
+
 _PAIRS = f"with {_sets('a', 'documents', 'doc_id', 5)}, p as (select a.k as a, b.k as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as m from a join a b on a.g = b.g and a.k < b.k group by a.k, b.k), near as (select a, b, cast(m as double) / (na + nb - m) as jaccard from p where cast(m as double) / (na + nb - m) >= 0.8)"
 
 
@@ -193,15 +201,18 @@ def jn_lsh(spark, d):
 
 @query("ml_gate_bc", _PAIRS.replace("with ", "with recursive ", 1) + ", e as (select a, b from near union select b, a from near), r(k, c) as (select doc_id, doc_id from documents union select e.b, r.c from r join e on e.a = r.k) select k as doc_id, min(c) as cluster from r group by k")
 def ml_gate_bc(spark, d):
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp()}")
+    _checkpoints(spark)
     docs = _docs(spark, d)
     return near.clusters(near.similar_pairs(docs, "doc_id"), docs, "doc_id")
 
 
+@query("wn_leaders")
+def wn_leaders(spark, d):
+    _checkpoints(spark)
+    docs = _docs(spark, d)
+    return near.leaders(near.similar_pairs(docs, "doc_id"), docs, "doc_id")
+
+
 _GATE = _LEAK + ", " + _CONTAIN[5:].replace("a as (", "a2 as (", 1).replace(", b as (", ", b2 as (", 1).replace("from a join b on a.g = b.g group by a.k, b.k)", "from a2 a join b2 b on a.g = b.g group by a.k, b.k)").replace(", p as (", ", p2 as (").replace("from p)", "from p2)")
 
 

@@ -128,3 +128,20 @@ def test_layers(spark, tmp_path):
     verdicts = {r.i: (r.verdict, r.classes) for r in layers.wall(df, "i").collect()}
     assert verdicts[0][0] == "ALLOW" and verdicts[7][0] == "SANITIZE" and verdicts[1][0] == verdicts[2][0] == verdicts[4][0] == verdicts[6][0] == "BLOCK"
     assert "ENCODING_TRICK" in verdicts[1][1] and "HIDDEN_UNICODE" in verdicts[6][1]
+
+
+def test_leaders_and_clusters(spark, tmp_path):
+    from sievelight.operators import near
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    edges = [(i, i + 1) for i in range(8)] + [(100, 101), (100, 103), (102, 103), (101, 102)]
+    nodes = sorted({x for e in edges for x in e} | {200})
+    pairs, df = spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(n,) for n in nodes], "k long")
+    want, lead = {}, []
+    for n in nodes:
+        first = next((x for x in lead if (x, n) in edges), None)
+        want[n] = n if first is None else first
+        lead += [n] if first is None else []
+    assert {r.k: r.leader for r in near.leaders(pairs, df, "k").collect()} == want
+    got = {r.k: r.cluster for r in near.clusters(pairs, df, "k").collect()}
+    assert got == {n: 0 if n <= 8 else 100 if n < 200 else 200 for n in nodes}
