@@ -6,7 +6,7 @@ vectors; a language's prototype is the sum of its texts' vectors, each divided b
 are compared by cosine after the mean of the prototypes, which all languages share, is taken from both.
 
 Texts are read whole: case is folded, and every run of characters that aren't letters counts as one gap. A text that is
-null or has no letter is ``und`` with score 0. Ill-formed surrogates count as gaps. The score is the share of the best language in a softmax over the
+null or has no letter is ``und`` with score 0. Very long texts are counted in pieces and keep all trigrams. Ill-formed surrogates count as gaps. The score is the share of the best language in a softmax over the
 cosines. If no labelled text has letters, everything is ``und``. Ties go to the first language by code point. Repeated
 rows count each time; other columns than id, text and lang are ignored; an empty table gives no rows.
 """

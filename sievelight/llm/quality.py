@@ -12,8 +12,9 @@ unlabelled texts above to the share of positives above.
 
 The classifier is fitted on a bounded sample, the rows with the least hashes: at most POSITIVES trusted and UNLABELLED
 other texts. Every text is scored, whole. Null and empty texts are scored as texts without any feature. Without any
-positive the score is 0.5 for all. Repeated rows each get their row; an empty table gives none. Other columns are
-ignored, and a label of null counts as none.
+positive the score is 0.5 for all. Very long texts count whole, and a score of exactly 0.5 is predicted 1. Repeated rows
+each get their row, rows with equal hashes are taken in the order of their ids; an empty table gives none. Other columns
+are ignored, whatever their names, and a label of null counts as none. Ids are integers.
 """
 
 from __future__ import annotations

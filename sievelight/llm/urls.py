@@ -7,7 +7,9 @@ verdict. Any other has its component's: an explicit allow among its aliases take
 nothing, and nothing means allow.
 
 Urls that are null or hold no ``://`` have an empty host and path and no aliases. Null html has no edges; neither have
-edges to relative addresses without a host. Repeated rows each get their row. Other columns are ignored.
+edges to relative addresses without a host. Very long html is searched whole. Of rules that fit with equal length none
+differ, as a host and a path name one rule. Cycles and hubs are components like others. Repeated rows each get their row;
+other columns are ignored, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ a repeated run makes the same records. Digests are SHA-1 in base 32, as usual in
 
 A response whose block is null has an empty block; null addresses and dates leave their header out. A block that isn't
 HTTP is taken as a payload without headers. Null ids are told apart by nothing but their content. Repeated rows give
-repeated records. Empty tables give none.
+repeated records. Very long html is converted whole. Other columns are ignored. Empty tables give none.
 """
 
 from __future__ import annotations

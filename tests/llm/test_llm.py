@@ -321,6 +321,46 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in urls.judge(two).collect()} == {1: "block", 2: "block"}
 
 
+def test_urls_of_many_redirects(spark):
+    """Chains, cycles, hubs and trees of aliases against union-find."""
+    r = random.Random(6)
+    names = [f"http://h{i}.{r.choice(['net', 'org', 'info'])}/{r.choice(['fr/', 'x/', ''])}{i}" for i in range(400)]
+    to = {}
+    for i in range(399):
+        kind = i // 100
+        to[i] = i + 1 if kind == 0 else 100 if kind == 1 else 200 + (i + 1 - 200) % 7 if kind == 2 and i < 207 else r.randrange(300, 400) if kind == 3 else None
+    rows = [(i, u, None if to.get(i) is None else f'<link rel="canonical" href="{names[to[i]]}">', "c", "n", "h") for i, u in enumerate(names)]
+    parent = list(range(400))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in to.items():
+        if j is not None:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    rule = lambda u: "allow" if ".org/fr/" in u else "block" if ".net/" in u else None
+    shared = {}
+    for i, u in enumerate(names):
+        if rule(u):
+            shared.setdefault(root(i), set()).add(rule(u))
+    want = {i: rule(u) or ("allow" if "allow" in shared.get(root(i), ()) else "block" if shared.get(root(i)) else "allow") for i, u in enumerate(names)}
+    pages = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string, component string, node string, host string")
+    got = urls.judge(pages).collect()
+    assert len(got) == 403 and {x.page_id: x.verdict for x in got} == want and set(want.values()) == {"allow", "block"}
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_classifiers_of_odd_tables(spark):
+    rows = [(i % 40, "good words here " * (i % 5 + 1) if i % 2 else "zzz ### 000", "en" if i % 2 else "de", "s", 0) for i in range(90)] + [(99, "long " * 200_000, "en", "s", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, EMPTY).withColumns({"lang_pred": F.lit("x"), "score": F.lit(3), "held_out": F.lit("y")})
+    got = langid.identify(docs).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} <= {"en", "de", "und"} and all(0 <= r.score <= 1 for r in got)
+    assert langid.identify(docs.limit(0)).count() == 0
+
+
 def test_token_files(spark, tmp_path):
     path = seekable.vocabulary("word_bpe_49k.json")
     texts = ["it's we'LL (x). thea, THE.", "é 中文 ²½! a‍b", "", "<|endoftext|> a", "word" * 40]
