@@ -56,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     parts = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), work=work).groupBy("doc_id").agg(F.first("component_id").alias("part"), F.count("*").alias("n"))
     parts = parts.join(rows.select(F.col(key).alias("doc_id"), F.col("doc_id").alias("id")).distinct(), "doc_id")
     parts = work.save(parts.select(F.col("doc_id").alias("key"), "part", "n", F.struct(F.col("id").isNull(), "id", "doc_id").alias("order")), "groups")
-    first = parts.groupBy("part").agg(F.min("order").alias("least"))
+    first = work.save(parts.groupBy("part").agg(F.min("order").alias("least")), "first")  # written, so that a large group is split by the join
     gone = parts.join(first, "part").where("order <> least").select("key")
     kept = _without(rows, key, gone)
     twice = parts.where("n > 1").select("key")
