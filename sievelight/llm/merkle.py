@@ -157,6 +157,8 @@ def _down(batches):
     """
     for t in _cut(batches):
         head, t = t.slice(0, 1), t.slice(1)
+        if not t.num_rows:  # an empty dataset's root has no nodes
+            continue
         top_places, top = head["places"][0].as_py(), head["others"][0].as_py()
         levels = t["levels"][0].as_py()
         m = climb(matrix(t["digest"].combine_chunks()), max(levels - 1, 0))[:levels]
