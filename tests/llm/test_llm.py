@@ -511,6 +511,18 @@ def test_windows_score_each_token_once():
     assert math.isclose(model.score([ids])[0], total / math.log(10), rel_tol=1e-4)
 
 
+def test_scores_do_not_depend_on_neighbours():
+    r = np.random.default_rng(4)
+    voc = attention.Vocabulary(np.arange(2000, 0, -1), [r.integers(0, 1990, 500)])
+    model = lm.Model(voc, attention.Attention(voc.sizes()))
+    texts = [r.integers(0, 1990, n) for n in r.integers(0, 700, 60)] + [r.integers(0, 1990, 20000)]
+    together = model.score(texts)
+    assert np.array_equal(together, np.array([model.score([t])[0] for t in texts])) and np.array_equal(together, model.score(texts[::-1])[::-1])
+    v = r.normal(size=50)
+    bounds = np.array([0, 0, 7, 7, 30, 50, 50])
+    assert np.allclose(lm._sums(v, bounds), [v[a:b].sum() for a, b in zip(bounds, bounds[1:])])
+
+
 def test_mixing(spark):
     r = random.Random(5)
     rows = [(i, " ".join("w" for _ in range(r.randrange(1, 40))), r.choice(["a", "a", "a", "b", "ç", None])) for i in range(400)] + [(900, None, "a"), (901, "", "d"), (5, "x y", "b"), (5, "x y", "b")]
@@ -560,7 +572,7 @@ def test_mixing_prefers_quality(spark):
 @pytest.mark.parametrize("module", [near, benchmark, mixture, urls])
 def test_sql(spark, module):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     for name, sql in module.SQL.items():
         got = module.QUERIES[name](spark, SF)
