@@ -83,7 +83,7 @@ def char_grams(text, size: int) -> Column:
     """Distinct runs of ``size`` characters of a text without its spaces."""
 
     def of(t: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.length(t) - size + 1), lambda i: F.substring(t, i, F.lit(size)))
+        runs = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))  # overlapping ones, in one pass
         return F.when(F.length(t) >= size, F.array_distinct(runs)).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
 
     return let(F.replace(_c(text), F.lit(" "), F.lit("")), of)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import stats as st
 
+from .running import running
+
 
 def _zero(part: Column, whole: Column, digits: int = 6) -> Column:
     return F.coalesce(F.round(F.try_divide(part.cast("double"), whole), digits), F.lit(0.0))
@@ -38,14 +40,26 @@ def _measures(at: DataFrame) -> DataFrame:
 def sweep(cases: DataFrame, score: str = "score", attack: str = "attack") -> DataFrame:
     """The measures at every distinct score, by running sums over scores instead of a join with all of them.
 
-    The running sum is over the distinct scores only.
+    The running sums are over the distinct scores only, by ranges of them.
     """
     by = cases.groupBy(F.col(score).alias("threshold")).agg(F.count_if(attack).alias("a"), F.count_if(~F.col(attack)).alias("b"))
-    down, all_ = W.orderBy(F.desc("threshold")), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    at = by.select("threshold", F.sum("a").over(down).alias("tp"), F.sum("b").over(down).alias("fp"), F.sum("a").over(all_).alias("pa"), F.sum("b").over(all_).alias("pb"))
+    at = running(by, [F.desc("threshold")], {"tp": "a", "fp": "b"})
+    all_ = cases.agg(F.count_if(attack).alias("pa"), F.count_if(~F.col(attack)).alias("pb"))  # one row
+    at = at.crossJoin(F.broadcast(all_))
     return _measures(at.select("threshold", "tp", "fp", (F.col("pb") - F.col("fp")).alias("tn"), (F.col("pa") - F.col("tp")).alias("fn")))
 
 
+def average_precision(cases: DataFrame, score: str, attack: Column, by: list[str]) -> DataFrame:
+    """(by..., precision): of each group the sum of precisions at its distinct scores, weighted by the steps of recall; 0
+    without attacks. Running sums go over all groups' distinct scores by ranges; what stands before a group is taken off."""
+    s = cases.groupBy(*by, F.col(score).alias("_at")).agg(F.count_if(attack).alias("a"), F.count("*").alias("n"))
+    at = running(s, [*[F.col(b) for b in by], F.desc("_at")], {"ra": "a", "rn": "n"})
+    start = at.groupBy(*by).agg(F.min(F.col("ra") - F.col("a")).alias("before_a"), F.min(F.col("rn") - F.col("n")).alias("before_n"), F.sum("a").alias("all"))
+    at = at.join(start, by)
+    step = F.col("a") * (F.col("ra") - F.col("before_a")) / (F.col("rn") - F.col("before_n")) / F.nullif(F.col("all"), F.lit(0))
+    return at.groupBy(*by).agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("precision"))
+
+
 def select_threshold(cases: DataFrame, score: str = "score", attack: str = "attack") -> DataFrame:
     """The distinct score with no false positive and some true one that is best by recall, f1, precision, then least."""
     ok = sweep(cases, score, attack).where("fp = 0 and tp > 0")

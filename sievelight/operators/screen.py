@@ -117,11 +117,26 @@ def context_switch(text: str | Column) -> Column:
     return let(let(let(words(text), halves), safe), score)
 
 
+def _subscores(text: str | Column) -> dict[str, Column]:
+    cut = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    return {"entropy": cut((entropy(text) - 2) / (R.ENTROPY - 2)), "invisible_ratio": cut(invisible_ratio(text) / R.INVISIBLE), "instruction_density": cut(instruction_density(text) / R.DENSITY), "context_switch": context_switch(text)}
+
+
 def heuristic_score(text: str | Column) -> Column:
     """The weighted sum of the four subscores, unrounded."""
-    cut = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    w = R.HEURISTIC_WEIGHTS
-    return cut((entropy(text) - 2) / (R.ENTROPY - 2)) * w["entropy"] + cut(invisible_ratio(text) / R.INVISIBLE) * w["invisible_ratio"] + cut(instruction_density(text) / R.DENSITY) * w["instruction_density"] + context_switch(text) * w["context_switch"]
+    s, w = _subscores(text), R.HEURISTIC_WEIGHTS
+    return s["entropy"] * w["entropy"] + s["invisible_ratio"] * w["invisible_ratio"] + s["instruction_density"] * w["instruction_density"] + s["context_switch"] * w["context_switch"]
+
+
+def heuristic_parts(text: str | Column) -> Column:
+    """Struct of the four subscores and their weighted sum."""
+    s, w = _subscores(text), R.HEURISTIC_WEIGHTS
+
+    def of(v: Column) -> Column:
+        total = v["entropy"] * w["entropy"] + v["invisible_ratio"] * w["invisible_ratio"] + v["instruction_density"] * w["instruction_density"] + v["context_switch"] * w["context_switch"]
+        return F.struct(*[v[n].alias(n) for n in s], total.alias("score"))
+
+    return let(F.struct(*[c.alias(n) for n, c in s.items()]), of)
 
 
 # --- similarity to known phrases ---
@@ -145,21 +160,47 @@ def phrase_weights() -> tuple[dict[str, float], list[dict[str, float]]]:
     return idf, out
 
 
-def similar_phrases(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, similarity, phrase): the known phrase with the largest TF-IDF cosine, the first of equal ones.
-
-    The phrases are a fixed list of 50, so their tokens are broadcast; texts are counted by (key, token) and never meet
-    each other.
-    """
-    spark = docs.sparkSession
+@lru_cache(maxsize=1)
+def _phrase_table() -> tuple[dict[str, tuple[float, int]], np.ndarray]:
+    """Weight and column of each known token, and the phrases' vectors as rows."""
     idf, vectors = phrase_weights()
-    known = spark.createDataFrame([(t, idf[t], [(i, v[t]) for i, v in enumerate(vectors) if t in v]) for t in sorted(idf)], "w string, idf double, at array<struct<i:int,x:double>>")
-    tf = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    j = tf.join(F.broadcast(known), "w", "left").withColumn("q", F.col("n") * F.coalesce("idf", F.lit(1.0)))
-    size = j.groupBy(key).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("size"))
-    dots = j.where("at is not null").select(key, "q", F.explode("at").alias("a")).groupBy(key, F.col("a.i").alias("i")).agg(F.sum(F.col("q") * F.col("a.x")).alias("dot"))
-    best = dots.groupBy(key).agg(F.max(F.struct(F.round("dot", 12).alias("dot"), (-F.col("i")).alias("i"))).alias("b"))
-    return size.join(best, key, "left").select(key, F.coalesce(F.col("b.dot") / F.col("size"), F.lit(0.0)).alias("similarity"), (-F.col("b.i")).alias("phrase"))
+    at = {t: i for i, t in enumerate(sorted(idf))}
+    rows = np.zeros((len(vectors), len(at)))
+    for i, v in enumerate(vectors):
+        for t, x in v.items():
+            rows[i, at[t]] = x
+    return {t: (idf[t], at[t]) for t in at}, rows
+
+
+@F.pandas_udf(T.StructType([T.StructField("similarity", T.DoubleType()), T.StructField("phrase", T.IntegerType()), T.StructField("tokens", T.IntegerType())]))
+def _phrase_similarity(s: pd.Series) -> pd.DataFrame:
+    known, rows = _phrase_table()
+    best, which, size = [], [], []
+    for t in s:
+        n = Counter(tokens(t)) if t else {}
+        total, q = 0.0, np.zeros(rows.shape[1])
+        for w, k in n.items():
+            idf, at = known.get(w, (1.0, -1))
+            total += (k * idf) ** 2
+            if at >= 0:
+                q[at] = k * idf
+        dots = np.round(rows @ q, 12)
+        i = int(dots.argmax())
+        size.append(len(n))
+        best.append(float(dots[i]) / math.sqrt(total) if dots[i] > 0 else 0.0)
+        which.append(i if dots[i] > 0 else None)
+    return pd.DataFrame({"similarity": best, "phrase": pd.array(which, dtype="Int32"), "tokens": pd.array(size, dtype="Int32")})
+
+
+def phrase_similarity(text: str | Column) -> Column:
+    """Struct (similarity, phrase, tokens): the known phrase with the largest TF-IDF cosine, the first of equal ones, by one
+    pass over each text; 0 and null where no token is known. tokens: the number of distinct ones."""
+    return _phrase_similarity(_c(text))
+
+
+def similar_phrases(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, similarity, phrase) of the texts that have tokens."""
+    return docs.select(key, phrase_similarity(text).alias("_p")).where("_p.tokens > 0").select(key, "_p.similarity", "_p.phrase")
 
 
 # --- risk and verdict ---
