@@ -1,5 +1,5 @@
 """The library's queries."""
 
-from . import analysis, learning, base, policies, relational, scalars, screening, stores, streams, texts
+from . import analysis, base, intake, learning, policies, relational, scalars, screening, stores, streams, texts
 
 QUERIES, SQL = base.QUERIES, base.SQL
