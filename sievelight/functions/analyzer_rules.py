@@ -84,3 +84,44 @@ CATEGORY_ADVICE = {
 }
 CLEAN = "Content appears clean. No prompt injection indicators detected."
 REVIEW = "Review manually."
+
+# What excuses or carries on a secret in a statement. (before) patterns end where the secret or verb begins, (after) ones
+# begin where it ends.
+POST_NOUN = r"(?i)^\s+(?:bod(?:y|ies)|requests?)\b"
+ABSENT_BEFORE = r"(?i)\b(?:no|zero|without)\s+(?:\w+\s+){0,2}$"
+NOT_TRANSFORMING_BEFORE = r"(?i)(?:\b(?:redact(?:ed|ing|s)?|mask(?:ed|ing|s)?|sanitiz(?:e|ed|es|ing))\s+no|\bwithout\s+(?:redact(?:ed|ing|s)?|mask(?:ed|ing|s)?|sanitiz(?:e|ed|es|ing))\s+(?:the\s+)?)\s*$"
+TRANSFORMED_BEFORE = r"(?i)\b(?:redacted|masked|sanitized)\s+(?:\w+\s+){0,2}$"
+NOT_TRANSFORMED_BEFORE = r"(?i)\b(?:not|never|non)[ -]?(?:redacted|masked|sanitized)\s+(?:\w+\s+){0,2}$"
+TRANSFORMED_AFTER = r"(?i)^\s+(?:(?:only\s+)?(?:in|as)\s+(?:a\s+)?(?:redacted|masked|sanitized)\s+(?:form|value|version)|(?:is|are|was|were)\s+(?:fully\s+)?(?:redacted|masked|sanitized))\b"
+CONDITION_SECRET = (
+    r"(?:\.env(?:\s+(?:files?|contents?))?|authorization\s+headers?|session\s+cookies?|client\s+secrets?|(?:system|developer)\s+prompts?|mnemonics?|seed\s*phrases?|credentials?"
+    r"|passwords?|passphrases?|id[_ -]tokens?|(?:api|access|auth|refresh|bearer|session|identity|private|secret|signing)[_ \t-]{0,3}(?:keys?|tokens?))"
+)
+CONDITION = (
+    r"(?i)\b(?:only\s+)?after\s+(?:(?:fully\s+)?(?:redact(?:ed|ing)?|mask(?:ed|ing)?|sanitiz(?:e|ed|ing))\s+(?:the\s+)?(?:it|them|" + CONDITION_SECRET + r")"
+    r"|" + CONDITION_SECRET + r"\s+(?:is|are|was|were)\s+(?:redacted|masked|sanitized))"
+)
+CONDITION_NEGATED_BEFORE = r"(?i)\b(?:do\s+not|don't|never|not|without)(?:\s+\w+){0,4}\s+$"
+TRANSFORM_NEGATED_BEFORE = r"(?i)\b(?:do\s+not|don't|never|not|without|fail(?:ed|s|ing)?\s+to|skip(?:ped|s|ping)?|avoid(?:ed|s|ing)?)\s+$"
+TRANSFORM_TARGET = r"(?i)\s+(?:(?:the|all|any|these|those)\s+){0,2}"
+LOCAL_SCOPE = r"(?i)\b(?:in|from)\s+(?:the\s+)?(?:local\s+)?(?:logs?|telemetry|traces?|metrics?)\b"
+RETAINED_BEFORE = r"(?i)\b(?:store|keep|retain|save|persist|hold|write|serialize|cache)\s+(?:the\s+)?$"
+LOCAL_AFTER = (
+    r"(?i)^\s+(?:(?:strictly\s+)?locally\b|(?:in|into|within)\s+(?:the\s+)?local\s+(?:encrypted\s+)?(?:storage|vault|file|cache|memory)\b"
+    r"|(?:remains?|stays?|is|are|must\s+remain)\s+(?:strictly\s+)?local\b)"
+)
+STAYS = ("remain", "stay", "is ", "are ", "must remain")
+SOURCE_VERB = r"(?i)\b(?:read|retrieve|extract|fetch|load|access|obtain|collect|capture|get|take)\b"
+ABOUT_DOCUMENTS = r"(?i)\b(?:documentation|docs?|guide|manual|policy|report|example|schema|format)\b"
+SINK_DOCUMENT_AFTER = r"(?i)^\s+(?:documentation|docs?|guide|manual|schema|example|format|reliability\s+report)\b"
+OTHER_CLAUSE = r"(?i),\s*(?:while|whereas|although|but|and\s+(?:separately|meanwhile))\b"
+PRONOUN = r"(?i)\b(?:it|them|this|these|those)\b"
+PRONOUN_REACH, EXCERPT = 64, 640
+
+# Tool calls: names and keys that count.
+TOOL_KEYS = ("tool_call", "tool_calls", "tool_result", "function", "arguments", "method", "params")
+TOOL_TAGS = ("tool", "function", "invoke")
+CONTENT_ATTRIBUTES = ("action", "arguments", "command", "content", "params", "text", "value")
+FENCED = r"(?is)```(?:json|tool|javascript|python)?\s*(.*?)```"
+RPC_REQUEST, RPC_RESPONSE, RPC_NAMESPACES = ("jsonrpc", "method", "params", "id"), ("jsonrpc", "result", "error", "id"), ("eth", "net", "web3")
+RPC_CHANGING = r"(?i)^(?:send|sign|submit|import|unlock)"

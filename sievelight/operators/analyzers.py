@@ -6,130 +6,25 @@ their own to a ``Registry``, a pandas UDF over a model included; weights are sca
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions import analyzer_rules as A
-from sievelight.functions.text import let
 
 from .addresses import FOUND, addresses
-from .links import CREDENTIALS, suspicious
+from .calls import hijack, markup_action
+from .links import suspicious
+from .secrets import exfiltration, flow, instruction
+
+__all__ = ["Registry", "addresses", "default_registry", "exfiltration", "flow", "hijack", "instruction", "markup_action", "recommendation", "suspicious"]
 
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _has(text: Column, pattern: str) -> Column:
-    return F.regexp_like(text, F.lit("(?U)" + pattern))
-
-
-def _found(matches: Column, confidence: float) -> Column:
-    return F.transform(matches, lambda m: F.struct(m.alias("match"), F.lit(confidence).alias("confidence")))
-
-
-def around(text: Column, pattern: str, before: int, after: int) -> Column:
-    """Matches with so many characters before and after: array of (before, match, after)."""
-    pieces = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-
-    def each(p: Column) -> Column:
-        # what stands before the i-th match is the text up to it, so far as it is needed
-        whole = lambda lo, n: F.array_join(F.zip_with(F.slice(p["gaps"], lo, n), F.slice(p["m"], lo, n), lambda x, y: F.concat(x, y)), "")
-        n = F.size(p["m"])
-
-        def at(i: Column) -> Column:
-            first = F.greatest(i - 8, F.lit(1))  # eight matches back are farther than any context
-            lead = F.concat(whole(first, i - first), F.element_at(p["gaps"], i))
-            tail = F.concat(F.element_at(p["gaps"], i + 1), whole_after(i))
-            return F.struct(F.right(lead, F.lit(before)).alias("before"), F.element_at(p["m"], i).alias("match"), F.left(tail, F.lit(after)).alias("after"))
-
-        def whole_after(i: Column) -> Column:
-            return F.array_join(F.zip_with(F.slice(p["m"], i + 1, F.lit(8)), F.slice(p["gaps"], i + 2, F.lit(8)), lambda x, y: F.concat(x, y)), "")
-
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), at)).otherwise(F.array().cast("array<struct<before:string,match:string,after:string>>"))
-
-    return let(pieces, each)
-
-
-def instruction(text: str | Column) -> Column:
-    """The first request for a secret that isn't negated, nor names a document, nor quotes; or null."""
-    t = _c(text)
-    ok = lambda m: ~_has(m["before"], A.NEGATED_INSTRUCTION) & ~_has(m["after"], A.SECRET_DOCUMENT_SUFFIX) & ~_has(m["after"], A.QUOTED_REQUEST_SUFFIX)
-    found = [F.filter(around(t, "(?U)" + p, 24, 48), ok) for p in A.EXFIL_INSTRUCTIONS]
-    return F.coalesce(flow(t), *[F.get(f, F.lit(0))["match"] for f in found])
-
-
-def flow(text: str | Column) -> Column:
-    """The first statement that hands a secret to a destination outside, or null.
-
-    A statement must name the secret after a verb of handing on that isn't negated, and a destination; one that speaks
-    of redacting, masking or sanitizing is left alone.
-    """
-    t = _c(text)
-
-    def hands_on(s: Column) -> Column:
-        verbs = around(s, "(?U)" + A.OUTBOUND_FLOW, 64, 4096)
-        return _has(s, A.SENSITIVE_OBJECT) & _has(s, A.OUTBOUND_SINK) & ~_has(s, A.TRANSFORMED) & F.exists(verbs, lambda v: ~_has(v["before"], A.OUTBOUND_NEGATION) & _has(v["after"], A.SENSITIVE_OBJECT))
-
-    hits = F.filter(F.split(t, A.STATEMENT_END), hands_on)
-    return F.when(_has(t, A.SENSITIVE_OBJECT), F.trim(F.get(hits, F.lit(0))))
-
-
-def exfiltration(text: str | Column, seeds: Column | None = None) -> Column:
-    """Private keys, credentials, seed phrases (given by ``seeds``) and requests for secrets."""
-    t = _c(text)
-
-    def judge(v: Column) -> Column:
-        keys = F.filter(around(v["t"], A.PRIVATE_KEY, 40, 40), lambda m: ~_has(F.concat(m["before"], m["match"], m["after"]), A.PUBLIC_HASH_CONTEXT))
-        keyed = F.when(_has(v["t"], A.KEY_CONTEXT) | v["i"].isNotNull(), F.transform(keys, lambda m: m["match"])).otherwise(F.array().cast("array<string>"))
-        any_token = "|".join(CREDENTIALS)
-        tokens = F.filter(around(v["t"], any_token, 80, 80), lambda m: v["i"].isNotNull() | _has(F.concat(m["before"], m["match"], m["after"]), A.EXFIL_VERB))
-        asked = F.array_compact(F.array(v["i"]))
-        parts = [_found(keyed, 0.95), _found(F.transform(tokens, lambda m: m["match"]), 0.90)]
-        return F.concat(*parts, *([] if seeds is None else [_found(seeds, 0.95)]), _found(asked, 0.80))
-
-    return F.when(F.trim(t) != "", let(F.struct(t.alias("t"), instruction(t).alias("i")), judge)).otherwise(F.array().cast(FOUND))
-
-
-def dangerous_action(content: Column) -> Column:
-    """The first action word, as written or with its parts apart; or null."""
-    first = lambda c, p: F.nullif(F.regexp_extract(c, "(?U)" + p, 0), F.lit(""))
-    apart = F.regexp_replace(content, A.ACTION_BOUNDARY, " ")
-    return F.coalesce(*[first(c, p) for c in (content, apart) for p in (A.FINANCIAL_ACTION, A.DANGEROUS_COMMAND)])
-
-
-def markup_action(text: str | Column) -> Column:
-    """The first action word within a tool tag, its markup and entities taken out so that pieces join; or null."""
-    t = _c(text)
-    inner = F.transform(F.regexp_extract_all(t, F.lit(A.TOOL_TAG), F.lit(2)), lambda x: F.regexp_replace(F.replace(F.replace(x, F.lit("<![CDATA["), F.lit("")), F.lit("]]>"), F.lit("")), r"<!--(?s:.*?)-->|</?[A-Za-z][\w:.-]*|/?>", ""))
-    plain = F.transform(inner, lambda x: F.translate(F.regexp_replace(x, "&(?:#x0*20|#0*32);", " "), "\"'", "  "))
-    return F.get(F.array_compact(F.transform(plain, dangerous_action)), F.lit(0))
-
-
-def hijack(text: str | Column) -> Column:
-    """Tool-shaped texts: 0.88 with an action, else 0.60; plain read-only calls are none."""
-    t = _c(text)
-    doc = F.try_parse_json(t)
-    name = F.regexp_extract(t, r'"name"\s*:\s*"([^"]*)"', 1)
-    named = F.when(doc.isNotNull() & F.regexp_like(t, F.lit(r'"arg(?:s|uments)"\s*:')), dangerous_action(name))
-    fenced = F.exists(F.regexp_extract_all(t, F.lit(r"(?is)```(?:json|tool|javascript|python)?\s*(.*?)```"), F.lit(1)), lambda b: F.regexp_like(b, F.lit(A.TOOL_SHAPE)) | (F.try_parse_json(b).isNotNull() & F.regexp_like(b, F.lit(A.TOOL_KEY))))
-    shape = F.regexp_like(t, F.lit(A.TOOL_SHAPE)) | (doc.isNotNull() & (F.regexp_like(t, F.lit(A.TOOL_KEY)) | F.regexp_like(t, F.lit(r'"role"\s*:\s*"tool"')))) | fenced
-    money = F.coalesce(*[F.nullif(F.regexp_extract(c, "(?U)" + A.FINANCIAL_ACTION, 0), F.lit("")) for c in (t, F.regexp_replace(t, A.ACTION_BOUNDARY, " "))])
-
-    def judge(v: Column) -> Column:
-        rpc = doc.isNotNull() & F.regexp_like(t, F.lit(r'"jsonrpc"\s*:\s*"2\.0"')) & ~F.regexp_like(t, F.lit(A.TOOL_SHAPE))
-        answer = ~F.regexp_like(t, F.lit(r'"method"\s*:')) & F.regexp_like(t, F.lit(r'"(?:result|error)"\s*:'))
-        balance = F.regexp_like(t, F.lit(r'^\s*\{\s*"tool_call"\s*:\s*\{\s*(?:"function"\s*:\s*"getBalance"\s*,\s*"arguments"\s*:\s*\{\s*"address"\s*:\s*"0x[0-9a-fA-F]{40}"\s*\}|"arguments"\s*:\s*\{\s*"address"\s*:\s*"0x[0-9a-fA-F]{40}"\s*\}\s*,\s*"function"\s*:\s*"getBalance")\s*\}\s*\}\s*$'))
-        reads = v["by_tool"].isNull() & v["money"].isNull() & ((rpc & (F.regexp_like(t, F.lit(A.READ_ONLY_METHOD)) | answer)) | balance)
-        action = F.coalesce(v["by_tool"], v["money"])
-        one = F.array(F.struct(F.coalesce(action, F.lit("tool-shaped payload")).alias("match"), F.when(action.isNotNull(), 0.88).otherwise(0.60).alias("confidence")))
-        return F.when((v["shape"] | v["by_tool"].isNotNull()) & ~reads, one).otherwise(F.array().cast(FOUND))
-
-    return F.when(F.trim(t) != "", let(F.struct(shape.alias("shape"), F.coalesce(markup_action(t), named).alias("by_tool"), money.alias("money")), judge)).otherwise(F.array().cast(FOUND))
-
-
 class Registry:
     """Analyzers in the order in which they were added."""
 
@@ -172,9 +67,11 @@ class Registry:
         return df.withColumn("score", F.aggregate("analyzers", F.lit(0.0), lambda a, x: a + x["weight"] * x["score"]))
 
 
-def default_registry() -> Registry:
-    r = Registry()
-    for name, detect in (("drain_address", addresses), ("tool_hijack", hijack), ("exfiltration", exfiltration), ("malicious_link", suspicious)):
+def default_registry(seed_words: Iterable[str] = ()) -> Registry:
+    """The four analyzers. ``seed_words``: the list whose words make a seed phrase, twelve in a row (the standard's 2,048, say,
+    read from a file of the user's); without one, seed phrases aren't looked for."""
+    listed, r = frozenset(seed_words), Registry()
+    for name, detect in (("drain_address", addresses), ("tool_hijack", hijack), ("exfiltration", lambda t: exfiltration(t, listed)), ("malicious_link", suspicious)):
         r.register(name, A.WEIGHTS[name], detect)
     return r
 

@@ -47,10 +47,16 @@ def legacy_ip(h: Column) -> Column:
 
 
 def confusable(h: Column) -> Column:
-    """A label that isn't ASCII and reads as a brand, alone or apart by hyphens, once look-alikes are Latin."""
-    brand = F.lit("(?:^|-)(?:" + "|".join(BRANDS) + ")(?:-|$)")
-    odd = lambda x: F.octet_length(x) != F.length(x)
-    return F.exists(F.split(h, r"\."), lambda x: odd(x) & F.regexp_like(F.translate(x, *LOOKALIKES), brand))
+    """A label that isn't ASCII and becomes so once look-alikes are Latin, if it has Latin letters beside them, or reads as a
+    brand, alone or before a hyphen."""
+    brand = F.lit("^(?:" + "|".join(BRANDS) + ")(?:-|$)")
+
+    def odd(x: Column) -> Column:
+        read = F.translate(x, *LOOKALIKES)
+        ascii_ = lambda c: F.octet_length(c) == F.length(c)
+        return ~ascii_(x) & ascii_(read) & (x.rlike("[A-Za-z]") | F.regexp_like(read, brand))
+
+    return F.exists(F.split(F.regexp_replace(h, r"\.+$", ""), r"\."), odd)
 
 
 def confidence(url: Column) -> Column:

@@ -47,7 +47,7 @@ def det_drain_opaque(spark, d):
 
 @query("det_exfil")
 def det_exfil(spark, d):
-    return _detected(told(spark, d), an.exfiltration("text"))
+    return _detected(told(spark, d), an.exfiltration("text", LISTED))
 
 
 @query("exfil_instruction")
