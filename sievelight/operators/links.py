@@ -31,7 +31,8 @@ BARE_SHORTENER = r"(?i)(?<![\w@./-])(?:" + "|".join(h.replace(".", r"\.") for h
 def urls(text: str | Column) -> Column:
     """Links of a text, then shorteners that stand there without a scheme."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.concat(*[F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)) for p in (LINK, BARE_SHORTENER)])
+    found = F.concat(*[F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)) for p in (LINK, BARE_SHORTENER)])
+    return F.when(t.contains(":") | t.contains("/") | F.lower(t).contains("www."), found).when(t.isNotNull(), F.array().cast("array<string>"))  # what any link has
 
 
 def host(url: Column) -> Column:

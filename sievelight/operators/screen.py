@@ -22,19 +22,28 @@ from pyspark.sql import types as T
 from sievelight.functions import rules as R
 from sievelight.functions.text import let
 
+from .prefilter import possible
+
 DETECTION = "struct<category:string,match:string,confidence:double,layer:int>"
 #: Matches kept of a category.
 MOST = 100
 
 
+_FLAT = tuple((c, i, p) for c, ps in R.INJECTION_PATTERNS.items() for i, p in enumerate(ps))
+_PATTERNS = tuple(p for _, _, p in _FLAT)
+
+
 def pattern_detections(text: str | Column) -> Column:
-    """All matches of all patterns, distinct within a category."""
-    t, parts = _c(text), []
-    for category, patterns in R.INJECTION_PATTERNS.items():
-        found = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)) for p in patterns]))
-        kept = F.slice(F.array_distinct(found), 1, MOST)
-        parts.append(_tag(kept, category))
-    return F.coalesce(F.flatten(F.array(*parts)), F.array().cast(f"array<{DETECTION}>"))
+    """All matches of all patterns, distinct within a category. A pattern is run on a text that has a literal it needs."""
+
+    def of(v: Column) -> Column:
+        parts = []
+        for category in R.INJECTION_PATTERNS:
+            found = [F.when(F.array_contains(v["can"], n), F.regexp_extract_all(v["t"], F.lit("(?U)" + p), F.lit(0))).otherwise(F.array().cast("array<string>")) for n, (c, _, p) in enumerate(_FLAT) if c == category]
+            parts.append(_tag(F.slice(F.array_distinct(F.flatten(F.array(*found))), 1, MOST), category))
+        return F.when(F.size(v["can"]) > 0, F.flatten(F.array(*parts))).otherwise(F.array().cast(f"array<{DETECTION}>"))
+
+    return F.coalesce(let(F.struct(_c(text).alias("t"), possible(text, _PATTERNS).alias("can")), of), F.array().cast(f"array<{DETECTION}>"))
 
 
 def _tag(matches: Column, category: str) -> Column:
@@ -42,9 +51,12 @@ def _tag(matches: Column, category: str) -> Column:
 
 
 def fired(text: str | Column) -> Column:
-    """Which patterns match, as category#number from 0."""
-    flat = [(f"{c}#{i}", p) for c, ps in R.INJECTION_PATTERNS.items() for i, p in enumerate(ps)]
-    return F.array_compact(F.array(*[F.when(_c(text).rlike("(?U)" + p), F.lit(n)) for n, p in flat]))
+    """Which patterns match, as category#number from 0; null for a null text."""
+
+    def of(v: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.array_contains(v["can"], n) & v["t"].rlike("(?U)" + p), F.lit(f"{c}#{i}")) for n, (c, i, p) in enumerate(_FLAT)]))
+
+    return let(F.struct(_c(text).alias("t"), possible(text, _PATTERNS).alias("can")), of)
 
 
 def _c(x: str | Column) -> Column:
@@ -247,23 +259,29 @@ def analyzer_policy(score: str | Column) -> tuple[Column, Column]:
     return verdict, risk
 
 
-def decide(df: DataFrame, text: str = "text", detections: str = "detections", risk: str = "risk", score: str | Column | None = None, failed: Column | None = None, hard: Column | None = None) -> DataFrame:
-    """Adds verdict and risk_level by the ordered gates: no text, a failed analyzer, an unknown risk, a hard block, a
-    score that is no number, then the highest of the policies; detections raise an allow, and what can't be sanitized
-    is blocked."""
+def decide(
+    df: DataFrame, text: str = "text", detections: str = "detections", risk: str = "risk", score: str | Column | None = None, failed: Column | None = None, hard: Column | None = None,
+    clean: Column | None = None, learned: Column | None = None,
+) -> DataFrame:
+    """Adds sanitized, verdict and risk_level by the ordered gates: no text, a failed analyzer, an unknown risk, a hard
+    block, a score that is no number, then the highest of the policies; detections raise an allow, and what can't be
+    sanitized is blocked. ``clean``: the sanitized text, if not by detections; ``learned``: the verdict that a scorer asks
+    for, or null."""
     score = F.lit(0.0) if score is None else _c(score)
     failed, hard = (F.lit(False) if x is None else x for x in (failed, hard))
+    learned = F.lit(None).cast("string") if learned is None else learned
     v2, r2 = analyzer_policy(score)
     known = F.col(risk).isin(*R.RISKS)
     v1 = F.when(F.col(risk) == "NONE", "ALLOW").when(F.col(risk) == "CRITICAL", "BLOCK").otherwise("SANITIZE")
-    top = at_rank(F.greatest(rank(v1, R.VERDICTS), rank(v2, R.VERDICTS)), R.VERDICTS)
-    level = F.greatest(rank(F.col(risk), R.RISKS), rank(r2, R.RISKS))
+    v3, r3 = F.when(learned.isin("SANITIZE", "BLOCK"), learned).otherwise("ALLOW"), F.when(learned == "BLOCK", "HIGH").when(learned == "SANITIZE", "MEDIUM").otherwise("NONE")
+    top = at_rank(F.greatest(*[rank(v, R.VERDICTS) for v in (v1, v2, v3)]), R.VERDICTS)
+    level = F.greatest(*[rank(r, R.RISKS) for r in (F.col(risk), r2, r3)])
     some = F.size(detections) > 0
     raised = F.when(some, F.greatest(level, F.lit(3))).otherwise(level)
     verdict = F.when((top == "ALLOW") & some, "SANITIZE").otherwise(top)
     stuck = (verdict == "SANITIZE") & some & (F.col("sanitized") == F.col(text))
     bad = F.col(text).isNull() | failed | ~known | hard | (F.col(risk) == "CRITICAL") | F.isnan(score) | (score < 0)
-    df = df.withColumn("sanitized", sanitized(text, detections))
+    df = df.withColumn("sanitized", sanitized(text, detections) if clean is None else clean)
     out_risk = F.when(bad, "CRITICAL").when(verdict == "BLOCK", at_rank(level, R.RISKS)).when(verdict == "ALLOW", "NONE").otherwise(at_rank(raised, R.RISKS))
     return df.withColumns({"verdict": F.when(bad | stuck, "BLOCK").otherwise(verdict), "risk_level": out_risk})
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import rules as R
 from sievelight.functions import text as tx
+from sievelight.operators import engine as en
 from sievelight.operators import screen as sc
 
 from .base import query, table
@@ -177,17 +178,23 @@ def scan_sanitize(spark, d):
 
 @query("scan_engine")
 def scan_engine(spark, d):
+    """Scanner and analyzers, and the second screen of what was sanitized."""
+    return en.engine(spiked(spark, d)).select("doc_id", "risk", F.round("score", 6).alias("score"), "verdict", "risk_level", F.array_join("threat_classes", ",").alias("classes"))
+
+
+@query("scan_layers")
+def scan_layers(spark, d):
+    """The pattern and statistical layers alone."""
     return sc.screen(spiked(spark, d)).select("doc_id", "risk", "verdict", "risk_level", F.array_join("classes", ",").alias("classes"))
 
 
 @query("scan_rescan")
 def scan_rescan(spark, d):
     """Sanitized texts are screened again; what isn't clean then is blocked."""
-    first = sc.screen(spiked(spark, d)).where("verdict = 'SANITIZE'").select("doc_id", F.col("sanitized").alias("text")).repartition("doc_id")  # apart from the second pass, whose code would else be one method with the first's
-    second = sc.screen(first)
-    return second.select("doc_id", F.when(F.col("verdict") == "ALLOW", "SANITIZE").otherwise("BLOCK").alias("verdict"))
+    first = en.saved(en.judged(spiked(spark, d)).where("verdict = 'SANITIZE'").select("doc_id", F.col("sanitized").alias("text")))
+    return en.judged(first).select("doc_id", F.when(F.col("verdict") == "ALLOW", "SANITIZE").otherwise("BLOCK").alias("verdict"))
 
 
 @query("entry_screen")
 def entry_screen(spark, d):
-    return sc.screen(spiked(spark, d)).groupBy("lang", "verdict").agg(F.count("*").alias("n"))
+    return en.engine(spiked(spark, d)).groupBy("lang", "verdict").agg(F.count("*").alias("n"))
