@@ -1,6 +1,6 @@
 """Texts in the shape of tool calls, and the actions that they name.
 
-A text that has a word of such a shape, by a native test, is read by a function over Arrow batches: as JSON where it
+A text that has a word of such a shape, by one pass of an automaton, is read by a function over Arrow batches: as JSON where it
 parses, as fenced blocks, and as markup. Markup is taken apart into pieces; what stands in a tool's element counts as one
 text in three ways, with its inner tags left out, as blanks, and replaced by the values of their content attributes, so
 that a word that is split by tags, comments or entities is put together again.
@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 from sievelight.functions import analyzer_rules as A
 
+from .prefilter import met
+
 #: What any text with a detection has.
-GATE = r"(?i)tool|function|arguments|method|params|invoke|\"args\"|\\u00"
+GATE = r"(?:tool|function|arguments|method|params|invoke|\"args\"|\\u00)"
 _FOUND = T.ArrayType(T.StructType([T.StructField("match", T.StringType()), T.StructField("confidence", T.DoubleType())]))
 _TOKEN = r"(?i)<!\[CDATA\[|<!--|<\?|<!|<(/?)([^\s<>/]+)(?=[\s/>])"
 _ATTRIBUTE = r"""([^\s=]*)\s*=\s*(?:"([^"]*)"?|'([^']*)'?|(\S*))"""
@@ -201,21 +203,20 @@ def detection_of(text: str) -> tuple[str, float] | None:
     return (found, 0.88) if found else ("tool-shaped payload", 0.60)
 
 
-def _gated(text: str | Column) -> Column:
-    t = F.col(text) if isinstance(text, str) else text
-    return F.when(F.regexp_like(t, F.lit(GATE)), t)
+def _telling(text: str | None) -> bool:
+    return bool(text and text.strip()) and bool(met(text, (GATE,)))
 
 
 def markup_action(text: str | Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(markup_action_of, na_action="ignore"), T.StringType())(_gated(text))
+    return F.pandas_udf(lambda s: s.map(lambda t: markup_action_of(t) if _telling(t) else None), T.StringType())(F.col(text) if isinstance(text, str) else text)
 
 
 @F.pandas_udf(_FOUND)
 def _hijack(s: pd.Series) -> pd.Series:
-    found = [None if x is None or not x.strip() else detection_of(x) for x in s]
+    found = [detection_of(x) if _telling(x) else None for x in s]
     return pd.Series([[] if f is None else [{"match": f[0], "confidence": f[1]}] for f in found], dtype=object)
 
 
 def hijack(text: str | Column) -> Column:
     """Array of one (match, confidence) for a tool-shaped text: 0.88 with an action, else 0.60."""
-    return _hijack(_gated(text))
+    return _hijack(F.col(text) if isinstance(text, str) else text)

@@ -107,12 +107,19 @@ def _among(w: Column, listed: list[str]) -> Column:
 
 
 def instruction_density(text: str | Column) -> Column:
-    return let(words(text), lambda w: F.coalesce(F.try_divide(_among(w, R.IMPERATIVE_VERBS).cast("double"), F.size(w)), F.lit(0.0)))
+    return let(words(text), _density)
+
+
+def _density(w: Column) -> Column:
+    return F.coalesce(F.try_divide(_among(w, R.IMPERATIVE_VERBS).cast("double"), F.size(w)), F.lit(0.0))
 
 
 def context_switch(text: str | Column) -> Column:
     """How little the second half of a text shares with the first, more if it gives instructions."""
+    return let(words(text), _switch)
 
+
+def _switch(words: Column) -> Column:
     def halves(w: Column) -> Column:
         mid = F.floor(F.size(w) / 2).cast("int")
         return F.struct(F.array_distinct(F.slice(w, F.lit(1), mid)).alias("a"), F.array_distinct(F.slice(w, mid + 1, F.size(w))).alias("b"), F.size(w).alias("n"))
@@ -126,29 +133,26 @@ def context_switch(text: str | Column) -> Column:
         return F.when(s["n"] < 6, 0.0).when((s["o"] < R.OVERLAP) & (s["k"] > 0.1), high).otherwise((1 - s["o"]) * 0.3)
 
     safe = lambda h: F.when(h["n"] >= 6, shares(h)).otherwise(F.struct(h["n"].alias("n"), F.lit(0.0).alias("o"), F.lit(0.0).alias("k")))
-    return let(let(let(words(text), halves), safe), score)
+    return let(let(halves(words), safe), score)
 
 
-def _subscores(text: str | Column) -> dict[str, Column]:
+def heuristic_parts(text: str | Column) -> Column:
+    """Struct of the four subscores and their weighted sum; the words of a text are taken once."""
     cut = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    return {"entropy": cut((entropy(text) - 2) / (R.ENTROPY - 2)), "invisible_ratio": cut(invisible_ratio(text) / R.INVISIBLE), "instruction_density": cut(instruction_density(text) / R.DENSITY), "context_switch": context_switch(text)}
-
-
-def heuristic_score(text: str | Column) -> Column:
-    """The weighted sum of the four subscores, unrounded."""
-    s, w = _subscores(text), R.HEURISTIC_WEIGHTS
-    return s["entropy"] * w["entropy"] + s["invisible_ratio"] * w["invisible_ratio"] + s["instruction_density"] * w["instruction_density"] + s["context_switch"] * w["context_switch"]
+    w = R.HEURISTIC_WEIGHTS
+    spoken = let(words(text), lambda x: F.struct(_density(x).alias("density"), _switch(x).alias("switch")))
 
+    def of(v: Column) -> Column:
+        s = {"entropy": cut((v["e"] - 2) / (R.ENTROPY - 2)), "invisible_ratio": cut(v["i"] / R.INVISIBLE), "instruction_density": cut(v["w"]["density"] / R.DENSITY), "context_switch": v["w"]["switch"]}
+        total = s["entropy"] * w["entropy"] + s["invisible_ratio"] * w["invisible_ratio"] + s["instruction_density"] * w["instruction_density"] + s["context_switch"] * w["context_switch"]
+        return F.struct(*[c.alias(n) for n, c in s.items()], total.alias("score"))
 
-def heuristic_parts(text: str | Column) -> Column:
-    """Struct of the four subscores and their weighted sum."""
-    s, w = _subscores(text), R.HEURISTIC_WEIGHTS
+    return let(F.struct(entropy(text).alias("e"), invisible_ratio(text).alias("i"), spoken.alias("w")), of)
 
-    def of(v: Column) -> Column:
-        total = v["entropy"] * w["entropy"] + v["invisible_ratio"] * w["invisible_ratio"] + v["instruction_density"] * w["instruction_density"] + v["context_switch"] * w["context_switch"]
-        return F.struct(*[v[n].alias(n) for n in s], total.alias("score"))
 
-    return let(F.struct(*[c.alias(n) for n, c in s.items()]), of)
+def heuristic_score(text: str | Column) -> Column:
+    """The weighted sum of the four subscores, unrounded."""
+    return heuristic_parts(text)["score"]
 
 
 # --- similarity to known phrases ---

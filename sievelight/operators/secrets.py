@@ -1,7 +1,7 @@
 """Secrets on their way out of a text: keys, tokens, seed phrases, requests, and flows to a destination outside.
 
-Which words stand near which others, and in what order, decides here; so a text that names any secret at all, by a native
-test that most texts fail, is read by a function over Arrow batches. A statement (up to a full stop, or a line end) is a
+Which words stand near which others, and in what order, decides here; so texts are read by a function over Arrow batches, which
+goes on with those that name any secret at all, by one pass of an automaton that few texts stop. A statement (up to a full stop, or a line end) is a
 row of marks: secrets, verbs, destinations, pronouns, transforms, each kind with its places in order. A verb of handing on
 takes the secret after it, or, with a pronoun behind it, the last one before it, be it from an earlier statement of the
 same paragraph in which it was read from somewhere. Secrets that are absent, masked or documents are excused, verbs that
@@ -25,9 +25,11 @@ from pyspark.sql import types as T
 from sievelight.functions import analyzer_rules as A
 
 from .links import CREDENTIALS
+from .prefilter import met
 
-#: What any text with a detection has, but for seed phrases.
-GATE = r"(?i)[0-9a-f]{64}|sk-|gh[posru]_|akia|xox|aiza|\.env|header|cookie|prompt|mnemonic|seed|credential|password|passphrase|secret|key|token|wallet|context"
+#: What any text with a detection has, but for keys and seed phrases.
+GATE = r"(?:sk-|ghp_|gho_|ghs_|ghr_|ghu_|akia|xox|aiza|\.env|header|cookie|prompt|mnemonic|seed|credential|password|passphrase|secret|key|token|wallet|context)"
+_KEY = r"(?<![A-Fa-f0-9])[A-Fa-f0-9]{64}|0x[A-Fa-f0-9]{64}"
 _FOUND = T.ArrayType(T.StructType([T.StructField("match", T.StringType()), T.StructField("confidence", T.DoubleType())]))
 
 
@@ -216,17 +218,16 @@ def detections_of(text: str, listed: frozenset[str] = frozenset()) -> list[tuple
     return [*out, (asked, 0.80)] if asked else out
 
 
-def _gated(text: str | Column) -> Column:
-    t = F.col(text) if isinstance(text, str) else text
-    return F.when(F.regexp_like(t, F.lit(GATE)), t)
+def _telling(text: str | None) -> bool:
+    return bool(text and text.strip()) and (bool(met(text, (GATE,))) or _has(_KEY, text))
 
 
 def flow(text: str | Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(flow_of, na_action="ignore"), T.StringType())(_gated(text))
+    return F.pandas_udf(lambda s: s.map(lambda t: flow_of(t) if _telling(t) else None), T.StringType())(F.col(text) if isinstance(text, str) else text)
 
 
 def instruction(text: str | Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(instruction_of, na_action="ignore"), T.StringType())(_gated(text))
+    return F.pandas_udf(lambda s: s.map(lambda t: instruction_of(t) if _telling(t) else None), T.StringType())(F.col(text) if isinstance(text, str) else text)
 
 
 def exfiltration(text: str | Column, seed_words: Iterable[str] = ()) -> Column:
@@ -236,6 +237,8 @@ def exfiltration(text: str | Column, seed_words: Iterable[str] = ()) -> Column:
 
     @F.pandas_udf(_FOUND)
     def detect(s: pd.Series) -> pd.Series:
-        return pd.Series([[] if x is None or not x.strip() else [{"match": m, "confidence": c} for m, c in detections_of(x, listed)] for x in s], dtype=object)
+        told = [x if _telling(x) else None for x in s]
+        seeds = [[(w, 0.95) for w in seeds_of(x, listed)] if listed and x and not y else [] for x, y in zip(s, told)]
+        return pd.Series([[{"match": m, "confidence": c} for m, c in (detections_of(y, listed) if y else more)] for y, more in zip(told, seeds)], dtype=object)
 
-    return detect(t if listed else _gated(t))
+    return detect(t)
