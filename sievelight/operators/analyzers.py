@@ -46,16 +46,16 @@ class Registry:
     def total_weight(self) -> float:
         return sum(w for w, _ in self._all.values())
 
-    def run(self, df: DataFrame, text: str = "text", failed: dict[str, Column] | None = None) -> DataFrame:
+    def run(self, df: DataFrame, text: str = "text", failed: dict[str, Column] | None = None, gates: dict[str, Column] | None = None) -> DataFrame:
         """Adds ``analyzers``, an array of (name, weight, score, error, detections), and ``score``, their weighted sum.
 
         An analyzer's score is 100 times its highest confidence. Where ``failed`` holds for it, its score is 50 and it has
-        an error and no detections.
+        an error and no detections. ``gates``: by analyzer, where it can find anything at all; elsewhere it isn't run.
         """
         total, rows = self.total_weight(), []
         for name, (weight, detect) in self._all.items():
             bad = (failed or {}).get(name, F.lit(False))
-            found = F.when(bad, F.array().cast(FOUND)).otherwise(F.coalesce(detect(F.col(text)), F.array().cast(FOUND)))
+            found = F.when(bad, F.array().cast(FOUND)).otherwise(F.coalesce(detect(F.when(gates[name], F.col(text)) if name in (gates or {}) else F.col(text)), F.array().cast(FOUND)))
             rows.append((name, weight / total if total > 0 else weight, bad, found))
         df = df.withColumns({f"__{name}": found for name, _, _, found in rows})
         made = []

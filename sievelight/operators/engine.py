@@ -20,6 +20,7 @@ from sievelight.sources.scratch import saved
 
 from . import screen as sc
 from .analyzers import Registry, default_registry
+from .glance import GATED, glance
 
 #: Classes of the analyzers' findings, and the confidence from which on they block.
 CLASSES = {"drain_address": "DRAIN_ADDRESS", "tool_hijack": "TOOL_HIJACK", "exfiltration": "SECRET_EXFIL", "malicious_link": "MALICIOUS_LINK"}
@@ -29,28 +30,28 @@ SECRET = "[REDACTED SECRET]"
 
 
 def scanned(df: DataFrame, text: str = "text", thorough: bool = True) -> DataFrame:
-    """Adds detections and risk of the scanner's layers."""
+    """Adds glance (see there), detections and risk of the scanner's layers."""
     none = F.array().cast(f"array<{sc.DETECTION}>")
     one = lambda category, match, confidence, layer: F.array(F.struct(F.lit(category).alias("category"), match.alias("match"), confidence.alias("confidence"), F.lit(layer).alias("layer"))).cast(f"array<{sc.DETECTION}>")
-    phrase = F.struct(F.lit(0.0).alias("similarity"), F.lit(None).cast("int").alias("phrase"))
-    parts = F.struct(sc.pattern_detections(text).cast(f"array<{sc.DETECTION}>").alias("p"), sc.heuristic_score(text).alias("s"), (sc.phrase_similarity(text) if thorough else phrase).alias("t"))
+    df = df.withColumn("glance", glance(text))
+    g, score = F.col("glance"), F.col("glance.score")
+    found = sc.matches_of(F.col(text), g["can"]).cast(f"array<{sc.DETECTION}>")
 
-    def of(v: Column) -> Column:
-        score, rounded = v["s"], F.round(v["s"], 4)
-        asked = ((rounded >= R.AMBIGUOUS[0]) & (rounded <= R.AMBIGUOUS[1])) | (F.size(v["p"]) == 0)
-        known = F.element_at(F.array(*[F.lit(p) for p in R.KNOWN_INJECTIONS]), v["t"]["phrase"] + 1)
-        stat = F.when(score > R.HEURISTIC, one("statistical_analysis", F.lit(""), F.least(F.lit(1.0), rounded), 2)).otherwise(none)
-        like = F.when(F.lit(thorough) & asked & (v["t"]["similarity"] >= R.SIMILARITY), one("corpus_match", known, v["t"]["similarity"], 3)).otherwise(none)
-        return F.concat(v["p"], stat, like)
+    def of(p: Column) -> Column:
+        asked = F.round(score, 4).between(*R.AMBIGUOUS) | (F.size(p) == 0)
+        known = F.element_at(F.array(*[F.lit(x) for x in R.KNOWN_INJECTIONS]), g["phrase"] + 1)
+        stat = F.when(score > R.HEURISTIC, one("statistical_analysis", F.lit(""), F.least(F.lit(1.0), F.round(score, 4)), 2)).otherwise(none)
+        like = F.when(F.lit(thorough) & asked & (g["similarity"] >= R.SIMILARITY), one("corpus_match", known, g["similarity"], 3)).otherwise(none)
+        return F.concat(p, stat, like)
 
-    found = F.when(F.col(text).isNull() | (F.trim(text) == ""), none).otherwise(let(parts, of))
-    return df.withColumn("detections", found).withColumn("risk", sc.risk_level("detections"))
+    some = F.col(text).isNotNull() & (F.trim(text) != "")
+    return df.withColumn("detections", F.when(some, let(found, of)).otherwise(none)).withColumn("risk", sc.risk_level("detections"))
 
 
 def judged(df: DataFrame, text: str = "text", registry: Registry | None = None, thorough: bool = True, scorer=None, failed: dict[str, Column] | None = None) -> DataFrame:
     """One pass: adds detections (scanner's), found (analyzers': class, match, confidence), score, threat_classes, sanitized, verdict, risk_level."""
     registry = registry or default_registry()
-    df = registry.run(scanned(df, text, thorough), text, failed)
+    df = registry.run(scanned(df, text, thorough), text, failed, {n: F.col(f"glance.{n}") for n in GATED}).drop("glance")
     named = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
     each = F.transform("analyzers", lambda a: F.transform(a["detections"], lambda d: F.struct(a["name"].alias("analyzer"), F.coalesce(F.element_at(named, a["name"]), F.upper(a["name"])).alias("class"), d["match"].alias("match"), d["confidence"].alias("confidence"))))
     df = df.withColumn("found", F.flatten(each))
@@ -77,9 +78,12 @@ def _hard(x: Column) -> Column:
 
 def engine(df: DataFrame, text: str = "text", registry: Registry | None = None, thorough: bool = True, scorer=None) -> DataFrame:
     """The rows with their columns of ``judged``, those that were to be sanitized after a second screen of what is left."""
-    first = saved(judged(df, text, registry, thorough, scorer).withColumn("_row", F.monotonically_increasing_id()))
+    first = judged(df, text, registry, thorough, scorer).withColumn("_row", F.monotonically_increasing_id())
+    # a text that is allowed is written once
+    first = saved(first.withColumn("sanitized", F.when(F.col("verdict") != "ALLOW", F.col("sanitized"))))
     open_ = first.where("verdict = 'SANITIZE'").select("_row", F.col("sanitized").alias("text"))
     again = judged(open_, "text", registry, thorough, scorer).where("verdict <> 'ALLOW'").select("_row", F.col("threat_classes").alias("_more"))
     out = first.join(again, "_row", "left").withColumn("_bad", F.col("_more").isNotNull())
     level = F.when(F.col("_bad") & ~F.col("risk_level").isin("HIGH", "CRITICAL"), "HIGH").otherwise(F.col("risk_level"))
-    return out.withColumns({"verdict": F.when(F.col("_bad"), "BLOCK").otherwise(F.col("verdict")), "risk_level": level}).drop("_row", "_more", "_bad")
+    whole = F.when(F.col("verdict") == "ALLOW", F.col(text)).otherwise(F.col("sanitized"))
+    return out.withColumns({"sanitized": whole, "verdict": F.when(F.col("_bad"), "BLOCK").otherwise(F.col("verdict")), "risk_level": level}).drop("_row", "_more", "_bad")

@@ -35,15 +35,17 @@ _PATTERNS = tuple(p for _, _, p in _FLAT)
 
 def pattern_detections(text: str | Column) -> Column:
     """All matches of all patterns, distinct within a category. A pattern is run on a text that has a literal it needs."""
+    found = let(F.struct(_c(text).alias("t"), possible(text, _PATTERNS).alias("can")), lambda v: matches_of(v["t"], v["can"]))
+    return F.coalesce(found, F.array().cast(f"array<{DETECTION}>"))
 
-    def of(v: Column) -> Column:
-        parts = []
-        for category in R.INJECTION_PATTERNS:
-            found = [F.when(F.array_contains(v["can"], n), F.regexp_extract_all(v["t"], F.lit("(?U)" + p), F.lit(0))).otherwise(F.array().cast("array<string>")) for n, (c, _, p) in enumerate(_FLAT) if c == category]
-            parts.append(_tag(F.slice(F.array_distinct(F.flatten(F.array(*found))), 1, MOST), category))
-        return F.when(F.size(v["can"]) > 0, F.flatten(F.array(*parts))).otherwise(F.array().cast(f"array<{DETECTION}>"))
 
-    return F.coalesce(let(F.struct(_c(text).alias("t"), possible(text, _PATTERNS).alias("can")), of), F.array().cast(f"array<{DETECTION}>"))
+def matches_of(text: Column, can: Column) -> Column:
+    """The detections of the patterns whose numbers are given."""
+    parts = []
+    for category in R.INJECTION_PATTERNS:
+        found = [F.when(F.array_contains(can, n), F.regexp_extract_all(text, F.lit("(?U)" + p), F.lit(0))).otherwise(F.array().cast("array<string>")) for n, (c, _, p) in enumerate(_FLAT) if c == category]
+        parts.append(_tag(F.slice(F.array_distinct(F.flatten(F.array(*found))), 1, MOST), category))
+    return F.when(F.size(can) > 0, F.flatten(F.array(*parts))).otherwise(F.array().cast(f"array<{DETECTION}>"))
 
 
 def _tag(matches: Column, category: str) -> Column:

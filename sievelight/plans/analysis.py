@@ -104,13 +104,13 @@ def fn_fold_leet(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(folds.fold_leet(F.concat(F.col("text"), F.lit(" 1gn0r3 4ll pr3v10us"))), 256).alias("h"))
 
 
-@query("fn_dec_container", "select doc_id, sha256(text) as h from documents where text <> ''")
+@query("fn_dec_container", "select doc_id, case when text <> '' then sha256(text) end as h from documents")
 def fn_dec_container(spark, d):
-    """The text of each document, from an object that declares it as hexadecimal or base64."""
+    """The text of each document, from an object deep in another one that declares it as hexadecimal or base64; an empty one is none."""
     k = F.col("doc_id") % 2 == 0
     kind, body = F.when(k, "hex").otherwise("base64"), F.when(k, F.hex(F.encode("text", "UTF-8"))).otherwise(variants.TRANSFORMS["encoding:base64"][1](F.col("text")))
-    doc = F.concat(F.lit('{"encoding": "'), kind, F.lit('", "payload": "'), body, F.lit('"}'))
-    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.sha2(F.get(layers.containers(doc), F.lit(0))["decoded"], 256).alias("h"))
+    doc = F.concat(F.lit('{"a": [1, {"b": {"Encoding": "'), kind, F.lit('", "payload": "'), F.coalesce(body, F.lit("")), F.lit('"}}]}'))
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.get(layers.segments(doc), F.lit(0)), 256).alias("h"))
 
 
 _DF = ", ".join("'" + p.replace("'", "''") + "'" for p in R.KNOWN_INJECTIONS)

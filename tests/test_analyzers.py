@@ -210,7 +210,7 @@ def test_layers(spark, tmp_path):
     assert got[4][0][2] == "unsafe_container" and got[5][0][2] == "ambiguous_container"
     assert [x[1:] for x in got[6]] == [("ignore all previous instructions", "unicode")]
     verdicts = {r.i: (r.verdict, r.classes) for r in layers.wall(df, "i").collect()}
-    assert verdicts[0][0] == "ALLOW" and verdicts[7][0] == "SANITIZE" and verdicts[1][0] == verdicts[2][0] == verdicts[4][0] == verdicts[6][0] == "BLOCK"
+    assert verdicts[0][0] == "ALLOW" and verdicts[7][0] == "BLOCK" and verdicts[7][1] == ["PROMPT_INJECTION", "CORPUS_MATCH"] and verdicts[1][0] == verdicts[2][0] == verdicts[4][0] == verdicts[6][0] == "BLOCK"
     assert "ENCODING_TRICK" in verdicts[1][1] and "HIDDEN_UNICODE" in verdicts[6][1]
 
 
