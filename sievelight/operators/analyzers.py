@@ -7,6 +7,7 @@ their own to a ``Registry``, a pandas UDF over a model included; weights are sca
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,18 +44,25 @@ class Registry:
     def names(self) -> list[str]:
         return list(self._all)
 
+    def detector(self, name: str) -> Callable[[Column], Column] | None:
+        return self._all.get(name, (0.0, None))[1]
+
     def total_weight(self) -> float:
         return sum(w for w, _ in self._all.values())
 
-    def run(self, df: DataFrame, text: str = "text", failed: dict[str, Column] | None = None, gates: dict[str, Column] | None = None) -> DataFrame:
+    def run(self, df: DataFrame, text: str = "text", failed: dict[str, Column] | None = None, gates: dict[str, Column] | None = None, given: dict[str, Column] | None = None) -> DataFrame:
         """Adds ``analyzers``, an array of (name, weight, score, error, detections), and ``score``, their weighted sum.
 
         An analyzer's score is 100 times its highest confidence. Where ``failed`` holds for it, its score is 50 and it has
         an error and no detections. ``gates``: by analyzer, where it can find anything at all; elsewhere it isn't run.
+        ``given``: detections of analyzers that have been run before.
         """
         total, rows = self.total_weight(), []
         for name, (weight, detect) in self._all.items():
             bad = (failed or {}).get(name, F.lit(False))
+            if name in (given or {}):
+                rows.append((name, weight / total if total > 0 else weight, bad, F.when(bad, F.array().cast(FOUND)).otherwise(given[name].cast(FOUND))))
+                continue
             found = F.when(bad, F.array().cast(FOUND)).otherwise(F.coalesce(detect(F.when(gates[name], F.col(text)) if name in (gates or {}) else F.col(text)), F.array().cast(FOUND)))
             rows.append((name, weight / total if total > 0 else weight, bad, found))
         df = df.withColumns({f"__{name}": found for name, _, _, found in rows})
@@ -71,7 +79,7 @@ def default_registry(seed_words: Iterable[str] = ()) -> Registry:
     """The four analyzers. ``seed_words``: the list whose words make a seed phrase, twelve in a row (the standard's 2,048, say,
     read from a file of the user's); without one, seed phrases aren't looked for."""
     listed, r = frozenset(seed_words), Registry()
-    for name, detect in (("drain_address", addresses), ("tool_hijack", hijack), ("exfiltration", lambda t: exfiltration(t, listed)), ("malicious_link", suspicious)):
+    for name, detect in (("drain_address", addresses), ("tool_hijack", hijack), ("exfiltration", partial(exfiltration, seed_words=listed)), ("malicious_link", suspicious)):
         r.register(name, A.WEIGHTS[name], detect)
     return r
 

@@ -11,6 +11,8 @@ are allowed or blocked are read once. Null texts are blocked, blank ones allowed
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from sievelight.functions.text import let
 from sievelight.sources.scratch import saved
 
 from . import screen as sc
-from .analyzers import Registry, default_registry
-from .glance import GATED, glance
+from .analyzers import Registry, addresses, default_registry, exfiltration, hijack, suspicious
+from .glance import glance
 
 #: Classes of the analyzers' findings, and the confidence from which on they block.
 CLASSES = {"drain_address": "DRAIN_ADDRESS", "tool_hijack": "TOOL_HIJACK", "exfiltration": "SECRET_EXFIL", "malicious_link": "MALICIOUS_LINK"}
@@ -29,11 +31,11 @@ RUNS = "^(?:file|javascript|vbscript):"
 SECRET = "[REDACTED SECRET]"
 
 
-def scanned(df: DataFrame, text: str = "text", thorough: bool = True) -> DataFrame:
+def scanned(df: DataFrame, text: str = "text", thorough: bool = True, seed_words: frozenset[str] = frozenset()) -> DataFrame:
     """Adds glance (see there), detections and risk of the scanner's layers."""
     none = F.array().cast(f"array<{sc.DETECTION}>")
     one = lambda category, match, confidence, layer: F.array(F.struct(F.lit(category).alias("category"), match.alias("match"), confidence.alias("confidence"), F.lit(layer).alias("layer"))).cast(f"array<{sc.DETECTION}>")
-    df = df.withColumn("glance", glance(text))
+    df = df.withColumn("glance", glance(text, seed_words))
     g, score = F.col("glance"), F.col("glance.score")
     found = sc.matches_of(F.col(text), g["can"]).cast(f"array<{sc.DETECTION}>")
 
@@ -51,7 +53,13 @@ def scanned(df: DataFrame, text: str = "text", thorough: bool = True) -> DataFra
 def judged(df: DataFrame, text: str = "text", registry: Registry | None = None, thorough: bool = True, scorer=None, failed: dict[str, Column] | None = None) -> DataFrame:
     """One pass: adds detections (scanner's), found (analyzers': class, match, confidence), score, threat_classes, sanitized, verdict, risk_level."""
     registry = registry or default_registry()
-    df = registry.run(scanned(df, text, thorough), text, failed, {n: F.col(f"glance.{n}") for n in GATED}).drop("glance")
+    secrets = registry.detector("exfiltration")
+    own = isinstance(secrets, partial) and secrets.func is exfiltration  # the library's, which the glance has run
+    given = {"exfiltration": F.col("glance.secrets")} if own else {}
+    given |= {"tool_hijack": F.col("glance.calls")} if registry.detector("tool_hijack") is hijack else {}
+    gates = {n: F.col(f"glance.{n}") for n, f in (("drain_address", addresses), ("malicious_link", suspicious)) if registry.detector(n) is f}
+    df = scanned(df, text, thorough, secrets.keywords["seed_words"] if own else frozenset())
+    df = registry.run(df, text, failed, gates, given).drop("glance")
     named = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
     each = F.transform("analyzers", lambda a: F.transform(a["detections"], lambda d: F.struct(a["name"].alias("analyzer"), F.coalesce(F.element_at(named, a["name"]), F.upper(a["name"])).alias("class"), d["match"].alias("match"), d["confidence"].alias("confidence"))))
     df = df.withColumn("found", F.flatten(each))
@@ -82,7 +90,8 @@ def engine(df: DataFrame, text: str = "text", registry: Registry | None = None,
     # a text that is allowed is written once
     first = saved(first.withColumn("sanitized", F.when(F.col("verdict") != "ALLOW", F.col("sanitized"))))
     open_ = first.where("verdict = 'SANITIZE'").select("_row", F.col("sanitized").alias("text"))
-    again = judged(open_, "text", registry, thorough, scorer).where("verdict <> 'ALLOW'").select("_row", F.col("threat_classes").alias("_more"))
+    # written as well, as a filter on what it gives would be computed from the text once more
+    again = saved(judged(open_, "text", registry, thorough, scorer).select("_row", "verdict", F.col("threat_classes").alias("_more"))).where("verdict <> 'ALLOW'").drop("verdict")
     out = first.join(again, "_row", "left").withColumn("_bad", F.col("_more").isNotNull())
     level = F.when(F.col("_bad") & ~F.col("risk_level").isin("HIGH", "CRITICAL"), "HIGH").otherwise(F.col("risk_level"))
     whole = F.when(F.col("verdict") == "ALLOW", F.col(text)).otherwise(F.col("sanitized"))
