@@ -202,8 +202,7 @@ def jn_lsh(spark, d):
 @query("ml_gate_bc", _PAIRS.replace("with ", "with recursive ", 1) + ", e as (select a, b from near union select b, a from near), r(k, c) as (select doc_id, doc_id from documents union select e.b, r.c from r join e on e.a = r.k) select k as doc_id, min(c) as cluster from r group by k")
 def ml_gate_bc(spark, d):
     _checkpoints(spark)
-    docs = _docs(spark, d)
-    return near.clusters(near.similar_pairs(docs, "doc_id"), docs, "doc_id")
+    return near.near_clusters(_docs(spark, d), "doc_id")
 
 
 @query("wn_leaders")
