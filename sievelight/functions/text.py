@@ -93,17 +93,22 @@ def fold_words(t) -> Column:
     return F.array_remove(F.split(shingle_fold(t), " "), "")
 
 
+def minhash_pairs(count: int) -> list[tuple[int, int]]:
+    """The fixed pairs (a, b) of the signatures."""
+    r, p = random.Random(97), (1 << 31) - 1
+    return [(r.randrange(1, p), r.randrange(p)) for _ in range(count)]
+
+
 def minhash(items, count: int = 128) -> Column:
     """Signature of an array of strings: the least of (h a + b) mod p for each of ``count`` fixed pairs; p for none."""
     p = (1 << 31) - 1
-    r = random.Random(97)
-    pairs = F.array(*[F.struct(F.lit(r.randrange(1, p)).cast("long").alias("a"), F.lit(r.randrange(p)).cast("long").alias("b")) for _ in range(count)])
-    h = F.transform(_c(items), lambda x: F.pmod(F.xxhash64(x), F.lit(p)))
+    pairs = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in minhash_pairs(count)])
+    h = F.transform(_c(items), lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % p)
     return let(h, lambda h: F.transform(pairs, lambda ab: F.coalesce(F.array_min(F.transform(h, lambda x: (x * ab["a"] + ab["b"]) % p)), F.lit(p).cast("long"))))
 
 
 def bands(signature, count: int = 16, rows: int = 8) -> Column:
-    return let(signature, lambda s: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.slice(s, i * rows + 1, rows))))
+    return let(signature, lambda s: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring(F.md5(F.concat_ws("/", i.cast("string"), F.array_join(F.slice(s, i * rows + 1, rows), "/"))), 1, 16)))
 
 
 # --- decoders ---

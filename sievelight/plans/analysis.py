@@ -74,9 +74,9 @@ def det_hijack_markup(spark, d):
 
 @query("reg_run", "select doc_id, round((0.25 * 50 + 0.20 * case when doc_id % 8 = 5 then 75 else 0 end) / 0.45, 6) as score from documents")
 def reg_run(spark, d):
-    """Two analyzers, of which one fails; the other finds the links that were added."""
+    """Two analyzers, of which one fails; the other finds the links that were added to the whole texts."""
     r = an.Registry().register("failing", 0.25, lambda t: F.array().cast(ad.FOUND)).register("malicious_link", 0.20, an.suspicious)
-    t = F.when(F.col("doc_id") % 8 == 5, "see bit.ly/abc").otherwise("see none")
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 8 == 5, " see bit.ly/abc").otherwise(" see none"))
     out = r.run(table(spark, d, "documents").select("doc_id", t.alias("text")), failed={"failing": F.lit(True)})
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -113,14 +113,13 @@ def fn_dec_container(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.get(layers.segments(doc), F.lit(0)), 256).alias("h"))
 
 
-_DF = ", ".join("'" + p.replace("'", "''") + "'" for p in R.KNOWN_INJECTIONS)
-
-
-@query("ag_tfidf_df", f"select w as token, count(distinct i) as df, round(ln(cast(51 as double) / (count(distinct i) + 1)) + 1, 9) as idf from (select i, unnest(regexp_extract_all(lower(p), '[a-z0-9]+')) as w from (select unnest(range(1, 51)) as i, unnest([{_DF}]) as p)) group by w")
+@query("ag_tfidf_df", "select w as token, count(*) as df, round(ln((select count(*) + 1 from documents) / cast(count(*) + 1 as double)) + 1, 9) as idf from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents) group by w")
 def ag_tfidf_df(spark, d):
-    known = spark.createDataFrame(list(enumerate(R.KNOWN_INJECTIONS)), "i int, p string")  # a fixed list of 50
-    each = known.select("i", F.explode(tx.tokens("p")).alias("token")).groupBy("token").agg(F.countDistinct("i").alias("df"))
-    return each.select("token", "df", F.round(F.log((F.lit(len(R.KNOWN_INJECTIONS)) + 1.0) / (F.col("df") + 1)) + 1, 9).alias("idf"))
+    """Document frequencies of all tokens of all documents; a document's are made distinct before they are shuffled."""
+    docs = table(spark, d, "documents")
+    df = docs.select(F.explode(F.array_distinct(tx.tokens("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    return df.crossJoin(F.broadcast(n)).select("token", "df", F.round(F.log((F.col("n") + 1.0) / (F.col("df") + 1)) + 1, 9).alias("idf"))
 
 
 _INV, _HOM = R.INVISIBLE_CHARACTERS, tx.HOMOGLYPHS[0]
@@ -160,12 +159,13 @@ def fn_variants(spark, d):
 
 @query("fn_equiv")
 def fn_equiv(spark, d):
-    e = variants.equivalents(variants.TRANSFORMS["encoding:base64"][1](F.col("text")))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(e).alias("n"), F.sha2(F.get(e, F.lit(0)), 256).alias("first"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", variants.TRANSFORMS["encoding:base64"][1](F.col("text")).alias("text"))
+    return variants.equivalents(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sha2(F.min("form"), 256).alias("first"))
 
 
 @query("ml_variants")
 def ml_variants(spark, d):
+    """All variants of all documents that decode back to them, but for those that hexadecimal ones of some have taken."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
     taken = variants.variants(docs.where("doc_id % 10 = 0"), "doc_id", names=("encoding:hex",)).select(F.col("variant").alias("payload"))
     return variants.packs(docs, "doc_id", taken).select("doc_id", "transform", F.sha2("variant", 256).alias("h"))

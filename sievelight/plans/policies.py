@@ -84,9 +84,10 @@ def flt_policy(spark, d):
 
 @query("flt_dest", "select doc_id, doc_id % 3 <> 2 as allowed from documents")
 def flt_dest(spark, d):
-    # 0xAB is listed and compared regardless of case; Name is compared exactly
-    to = F.element_at(F.array(F.lit("0xaB"), F.lit("Name"), F.lit("name")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", policy.destination_allowed(F.array(F.lit("0xAB"), F.lit("Name")), to).alias("allowed"))
+    # the destination is read from the end of the text; 0xAB is listed and compared regardless of case, Name exactly
+    t = _with(spark, d, F.concat(F.lit("pay to "), F.element_at(F.array(F.lit("0xaB"), F.lit("Name"), F.lit("name")), (F.col("doc_id") % 3 + 1).cast("int"))))
+    to = F.regexp_extract("t", r"pay to (\S+)$", 1)
+    return t.select("doc_id", policy.destination_allowed(F.array(F.lit("0xAB"), F.lit("Name")), to).alias("allowed"))
 
 
 @query("prj_order_reasons", "select user_id, string_agg(distinct event_type, ',' order by event_type desc) as types from events group by user_id")
@@ -134,25 +135,33 @@ def prj_coverage(spark, d):
     return table(spark, d, "part").select("p_partkey", policy.coverage(F.col("p_partkey"), F.lit(1000)).alias("coverage"))
 
 
+def _with(spark, d, said):
+    """Every document's whole text with a sentence put at its end, as t."""
+    return table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said).alias("t"))
+
+
 _LINKS = ("http://0x7f.1/x", "javascript:alert(1)", "https://bit.ly/a", "http://10.0.0.1/", "https://xn--e1a.com/", "https://ordinary.com/x", "data:text/html,x", "http://0300.0250.1.1/")
 
 
+def _linked(spark, d):
+    return _with(spark, d, F.concat(F.lit("see "), F.element_at(F.array(*[F.lit(x) for x in _LINKS]), (F.col("doc_id") % 8 + 1).cast("int")), F.lit(" now")))
+
+
 @query("det_link", "select doc_id, case doc_id % 8 when 0 then cast(0.9 as double) when 1 then cast(0.95 as double) when 2 then cast(0.75 as double) when 3 then cast(0.85 as double) when 4 then cast(0.85 as double) when 6 then cast(0.85 as double) when 7 then cast(0.9 as double) end as confidence from documents where doc_id % 8 <> 5")
 def det_link(spark, d):
-    t = table(spark, d, "documents").withColumn("t", F.concat(F.lit("see "), F.element_at(F.array(*[F.lit(x) for x in _LINKS]), (F.col("doc_id") % 8 + 1).cast("int")), F.lit(" now")))
-    return t.select("doc_id", F.explode(links.suspicious("t")).alias("x")).select("doc_id", "x.confidence")
+    return _linked(spark, d).select("doc_id", F.explode(links.suspicious("t")).alias("x")).select("doc_id", "x.confidence")
 
 
 @query("link_legacy_ip", "select doc_id, doc_id % 8 in (0, 7) as legacy from documents")
 def link_legacy_ip(spark, d):
-    u = F.element_at(F.array(*[F.lit(x) for x in _LINKS]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", links.legacy_ip(links.host(u)).alias("legacy"))
+    return _linked(spark, d).select("doc_id", F.exists(links.urls("t"), lambda u: links.legacy_ip(links.host(u))).alias("legacy"))
 
 
-@query("link_idn", "select doc_id, doc_id % 3 = 0 as confusable from documents")
+@query("link_idn", "select doc_id, doc_id % 4 in (0, 3) as confusable from documents")
 def link_idn(spark, d):
-    h = F.element_at(F.array(F.lit("www.p\u0430yp\u0430l.com"), F.lit("paypal.com"), F.lit("b\u00fccher.de")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", links.confusable(h).alias("confusable"))
+    hosts = [F.lit(x) for x in ("www.p\u0430yp\u0430l.com", "paypal.com", "b\u00fccher.de", "ex\u0430mple.org")]
+    t = _with(spark, d, F.concat(F.lit("see https://"), F.element_at(F.array(*hosts), (F.col("doc_id") % 4 + 1).cast("int")), F.lit("/x")))
+    return t.select("doc_id", F.exists(links.urls("t"), lambda u: links.confusable(links.host(u))).alias("confusable"))
 
 
 _ADDRESS = "0x' || substr(md5(cast(doc_id as varchar)) || md5(cast(doc_id as varchar)), 1, 40)"
@@ -166,17 +175,21 @@ def det_drain(spark, d):
     md5 = F.md5(F.col("doc_id").cast("string"))
     a = F.concat(F.lit("0x"), F.substring(F.concat(md5, md5), F.lit(1), F.when(k == 2, 39).otherwise(40)))
     t = F.when(k == 0, F.concat(F.lit("transfer all funds now to "), a)).when(k == 1, F.concat(F.lit("please pay "), a)).when(k == 2, F.concat(F.lit("send it to "), a)).otherwise(F.concat(F.lit("contract "), a))
-    found = table(spark, d, "documents").select("doc_id", F.explode(ad.addresses(t, F.array().cast("array<string>"))).alias("x"))
+    found = _with(spark, d, t).select("doc_id", F.explode(ad.addresses("t", F.array().cast("array<string>"))).alias("x"))
     return found.select("doc_id", "x.match", "x.confidence")
 
 
-@query("exfil_tokens", "select doc_id, 'AKIA' || upper(substr(md5(cast(doc_id as varchar)), 1, 16)) as token from documents where doc_id % 2 = 0")
+_TOKENS = "(select doc_id, coalesce(text, '') || case when doc_id % 2 = 0 then ' key AKIA' || upper(substr(md5(cast(doc_id as varchar)), 1, 16)) else ' sk-short' end as t from documents)"
+
+
+@query("exfil_tokens", f"select doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(t, '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, 'AKIA[0-9A-Z]{{16}}')))) as token from {_TOKENS}")
 def exfil_tokens(spark, d):
-    t = table(spark, d, "documents").withColumn("t", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("key AKIA"), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)))).otherwise(F.lit("sk-short")))
-    return t.select("doc_id", F.explode(links.credentials("t")).alias("token"))
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("key AKIA"), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)))).otherwise(F.lit("sk-short"))
+    return _with(spark, d, said).select("doc_id", F.explode(links.credentials("t")).alias("token"))
 
 
 @query("exfil_seed", "select doc_id, doc_id % 15 >= 12 as seed from documents")
 def exfil_seed(spark, d):
-    run = F.concat(F.array_repeat(F.lit("apple"), (F.col("doc_id") % 15).cast("int")), F.array(F.lit("stop"), F.lit("apple")))
-    return table(spark, d, "documents").select("doc_id", links.seed_run(run, F.array(F.lit("apple"), F.lit("river"))).alias("seed"))
+    t = _with(spark, d, F.concat(F.array_join(F.array_repeat(F.lit("abandon"), (F.col("doc_id") % 15).cast("int")), " "), F.lit(" stop abstract")))
+    words = F.regexp_extract_all(F.lower("t"), F.lit(r"\b[a-z]{3,8}\b"), F.lit(0))
+    return t.select("doc_id", links.seed_run(words, F.array(F.lit("abandon"), F.lit("abstract"))).alias("seed"))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import stats as st
 from sievelight.operators import ledger, metrics
+from sievelight.operators.running import numbered
+from sievelight.sources.scratch import saved
 
 from .base import query, table
 
@@ -16,7 +18,7 @@ def jn_reprobe(spark, d):
     a = table(spark, d, "orders").where(F.col("o_orderstatus").isin("O", "P")).withColumn("probed", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")))
     b = table(spark, d, "customer").where("c_custkey % 5 <> 0")
     j = a.join(b, F.col("o_custkey") == F.col("c_custkey"))
-    return j.select("o_orderkey", "c_custkey", F.row_number().over(W.orderBy(F.asc_nulls_first("probed"), "o_orderkey")).alias("queue"))
+    return numbered(j.select("o_orderkey", "c_custkey", "probed"), [F.asc_nulls_first("probed"), F.asc("o_orderkey")], "queue").select("o_orderkey", "c_custkey", F.col("queue").cast("int").alias("queue"))
 
 
 @query("jn_lineage", "select l_orderkey, l_linenumber, o_orderkey is null as missing, o_orderstatus from lineitem left join (select * from orders where o_orderkey % 11 <> 0) o on l_orderkey = o_orderkey")
@@ -113,9 +115,10 @@ def jn_contain_text(spark, d):
 @query("jn_anchor", "with a as (select row_number() over (order by event_id) as idx, event_id as seq, sha256(cast(event_id as varchar) || event_type) as head from events where event_id % 50 = 0) select a.idx, a.seq, a.head = sha256(cast(e.event_id as varchar) || e.event_type) as matches, a.seq > coalesce(lag(a.seq) over (order by a.idx), -1) as rising from a join events e on e.event_id = a.seq")
 def jn_anchor(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.sha2(F.concat(F.col("event_id").cast("string"), "event_type"), 256).alias("is"))
-    a = e.where("seq % 50 = 0").select("seq", F.col("is").alias("head"), F.row_number().over(W.orderBy("seq")).alias("idx"))
-    rising = F.col("seq") > F.coalesce(F.lag("seq").over(W.orderBy("idx")), F.lit(-1))
-    return a.join(e, "seq").select("idx", "seq", (F.col("head") == F.col("is")).alias("matches"), rising.alias("rising"))
+    a = saved(numbered(e.where("seq % 50 = 0").select("seq", F.col("is").alias("head")), [F.asc("seq")], "idx"))
+    a = a.join(a.select((F.col("idx") + 1).alias("idx"), F.col("seq").alias("last")), "idx", "left")
+    rising = F.col("seq") > F.coalesce("last", F.lit(-1))
+    return a.join(e, "seq").select(F.col("idx").cast("int").alias("idx"), "seq", (F.col("head") == F.col("is")).alias("matches"), rising.alias("rising"))
 
 
 @query("jn_findings", "select * from (select m.event_type, e.event_id, row_number() over (partition by m.event_type order by e.event_id) as nth from (select event_type from events group by event_type having count(*) filter (where value > 90) > 10) m join events e on e.event_type = m.event_type where e.value < 20) where nth <= 5")
@@ -373,7 +376,8 @@ def wn_lineage(spark, d):
 @query("so_agents", "select c_custkey, row_number() over (order by coalesce(case when c_custkey % 9 = 0 then null else c_acctbal end, -100000) desc, lower(c_name), c_custkey) as pos from customer")
 def so_agents(spark, d):
     sold = F.coalesce(F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")), F.lit(-100000.0))
-    return table(spark, d, "customer").select("c_custkey", F.row_number().over(W.orderBy(sold.desc(), F.lower("c_name"), "c_custkey")).alias("pos"))
+    c = table(spark, d, "customer").select("c_custkey", sold.alias("sold"), F.lower("c_name").alias("name"))
+    return numbered(c, [F.desc("sold"), F.asc("name"), F.asc("c_custkey")], "pos").select("c_custkey", F.col("pos").cast("int").alias("pos"))
 
 
 @query("so_limit", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' order by o_orderkey desc limit 50")
@@ -383,7 +387,8 @@ def so_limit(spark, d):
 
 @query("so_badges", "select o_orderkey, row_number() over (order by strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') desc, o_orderkey) as pos from orders")
 def so_badges(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.row_number().over(W.orderBy(F.desc(st.iso_utc("o_orderdate")), "o_orderkey")).alias("pos"))
+    o = table(spark, d, "orders").select("o_orderkey", st.iso_utc("o_orderdate").alias("at"))
+    return numbered(o, [F.desc("at"), F.asc("o_orderkey")], "pos").select("o_orderkey", F.col("pos").cast("int").alias("pos"))
 
 
 @query("so_keyset", "select event_id as seq, event_type from events where event_id > 500 order by event_id limit 51")
@@ -394,7 +399,8 @@ def so_keyset(spark, d):
 @query("so_nulls_first", "select c_custkey, row_number() over (order by last nulls first, c_custkey) as pos from (select c_custkey, max(o_orderdate) as last from customer left join orders on o_custkey = c_custkey group by c_custkey)")
 def so_nulls_first(spark, d):
     last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
-    return table(spark, d, "customer").join(last, "c_custkey", "left").select("c_custkey", F.row_number().over(W.orderBy(F.asc_nulls_first("last"), "c_custkey")).alias("pos"))
+    c = table(spark, d, "customer").select("c_custkey").join(last, "c_custkey", "left")
+    return numbered(c, [F.asc_nulls_first("last"), F.asc("c_custkey")], "pos").select("c_custkey", F.col("pos").cast("int").alias("pos"))
 
 
 @query("so_topk_class", "select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by doc_id) as rn from documents) where rn <= 5")

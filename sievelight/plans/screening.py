@@ -171,9 +171,15 @@ def vrd_redact(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(sc.redacted("text", F.array(F.lit(" the "), F.lit(""), F.lit("er"))), 256).alias("h"))
 
 
-@query("scan_sanitize", f"select user_id, case when bool_or(category in ('direct_instruction', 'role_override', 'web3_specific', 'encoding_tricks', 'corpus_match')) then '[REDACTED]' else 'ab' end as sanitized from {_MADE} group by user_id")
+_OF_DOC = f"{_CATLIST}[doc_id % 7 + 1]"
+
+
+@query("scan_sanitize", f"select doc_id, sha256(case when {_OF_DOC} in ('direct_instruction', 'role_override', 'web3_specific', 'encoding_tricks', 'corpus_match') then '[REDACTED]' else coalesce(text, '') || 'ab' end) as h from documents")
 def scan_sanitize(spark, d):
-    return _made(spark, d).select("user_id", sc.sanitized(F.lit("a​b"), "dets").alias("sanitized"))
+    """Whole texts with an invisible sign added, and a detection of a category that goes by the id."""
+    one = F.struct(F.element_at(F.array(*[F.lit(c) for c in R.CATEGORY_CLASS][:7]), (F.col("doc_id") % 7 + 1).cast("int")).alias("category"))
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("a\u200bb")).alias("text"), F.array(one).alias("dets"))
+    return t.select("doc_id", F.sha2(sc.sanitized("text", "dets"), 256).alias("h"))
 
 
 @query("scan_engine")

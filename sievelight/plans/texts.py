@@ -68,10 +68,10 @@ def fn_containment_grams(spark, d):
     return _gram_rows(spark, d, 13)
 
 
-@query("fn_char_shingles", f"with t as (select item_id, replace({_FOLD}, ' ', '') as t from benchmark), g as (select item_id, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) as g from t) select item_id, len(g) as n, sha256(array_to_string(list_sort(g), '/')) as h from g")
+@query("fn_char_shingles", f"with t as (select doc_id, replace({_FOLD}, ' ', '') as t from documents), g as (select doc_id, case when length(t) >= 5 then list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) when length(t) > 0 then [t] else [] end as g from t) select doc_id, len(g) as n, sha256(array_to_string(list_sort(g), '/')) as h from g")
 def fn_char_shingles(spark, d):
-    g = table(spark, d, "benchmark").select("item_id", tx.char_grams(tx.shingle_fold("text"), 5).alias("g"))
-    return g.select("item_id", F.size("g").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("g"), "/"), 256).alias("h"))
+    g = _docs(spark, d).select("doc_id", tx.char_grams(tx.shingle_fold("text"), 5).alias("g"))
+    return g.select("doc_id", F.size("g").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("g"), "/"), 256).alias("h"))
 
 
 _PLAUSIBLE = r"length(text) >= 8 and len(regexp_extract_all(text, '[^\p{C}]|[\r\n\t]')) >= cast(0.9 as double) * length(text) and len(list_filter(range(1, length(text) + 1, 32), lambda i: length(regexp_replace(substr(text, i, 64), '[^\p{L}]', '', 'g')) >= cast(0.4 as double) * length(substr(text, i, 64)))) > 0"
@@ -145,14 +145,21 @@ def fn_corpus_fp(spark, d):
     return table(spark, d, "benchmark").agg(F.sha2(F.array_join(rows, "\n"), 256).alias("fingerprint"))
 
 
-@query("fn_minhash")
+def _slots(name: str, source: str, key: str) -> str:
+    """The signatures of a table's texts, with the pairs of ``tx.minhash``, which come from a rule."""
+    pairs = "[" + ", ".join(f"{{'a': {x}::bigint, 'b': {y}::bigint}}" for x, y in tx.minhash_pairs(128)) + "]"
+    h = "list_transform(g, lambda x: cast('0x' || substr(md5(x), 1, 8) as bigint) % 2147483647)"
+    return f"{name} as (select k, list_transform({pairs}, lambda p: coalesce(list_min(list_transform(h, lambda x: (x * p.a + p.b) % 2147483647)), 2147483647)) as s from (select k, {h} as h from (select {key} as k, {_grams('w', 5)} as g from (select {key}, {_FW} as w from {source}))))"
+
+
+@query("fn_minhash", f"with {_slots('m', 'documents', 'doc_id')} select k as doc_id, cast(unnest(range(0, 128)) as int) as pos, unnest(s) as slot from m")
 def fn_minhash(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.explode(tx.minhash(tx.grams(tx.fold_words("text"), 5))).alias("slot"))
+    return _docs(spark, d).select("doc_id", F.posexplode(tx.minhash(tx.grams(tx.fold_words("text"), 5))).alias("pos", "slot"))
 
 
-@query("fn_bands")
+@query("fn_bands", f"with {_slots('m', 'documents', 'doc_id')}, i as (select k, s, unnest(range(0, 16)) as i from m) select k as doc_id, substr(md5(i || '/' || array_to_string(s[i * 8 + 1:i * 8 + 8], '/')), 1, 16) as band from i")
 def fn_bands(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.explode(tx.bands(tx.minhash(tx.grams(tx.fold_words("text"), 5)))).alias("band"))
+    return _docs(spark, d).select("doc_id", F.explode(tx.bands(tx.minhash(tx.grams(tx.fold_words("text"), 5)))).alias("band"))
 
 
 # --- leakage and near copies ---
@@ -178,7 +185,10 @@ def jn_leak_contain(spark, d):
     return near.containment_leaks(_docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id").withColumn("containment", F.round("containment", 9))
 
 
-@query("jn_leak_est")
+_EST = f"with {_slots('a', 'documents', 'doc_id')}, {_slots('b', 'benchmark', 'item_id')}, e as (select a.k as doc_id, b.k as item_id, cast(len(list_filter(range(1, 129), lambda i: a.s[i] = b.s[i])) as double) / 128 as estimate from a, b)"
+
+
+@query("jn_leak_est", _EST + " select doc_id, item_id, estimate from (select *, row_number() over (partition by doc_id order by estimate desc, item_id) as rn from e) where rn = 1")
 def jn_leak_est(spark, d):
     return near.best_estimates(_docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
 
