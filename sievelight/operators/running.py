@@ -16,14 +16,14 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str | Column]) -
     range is added from a table of one row a range.
     """
     df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    df = saved(df.withColumns({"_range": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()}))
+    df = saved(df.withColumns({"__range": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()}))
     each = {n: F.col(c) if isinstance(c, str) else c for n, c in sums.items()}
-    whole = df.groupBy("_range").agg(*[F.sum(c).alias(n) for n, c in each.items()])
-    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
-    start = whole.select("_range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
-    own = W.partitionBy("_range").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
-    out = df.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in each.items()}).join(F.broadcast(start), "_range")
-    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", "_pos", *[f"_{n}" for n in sums])
+    whole = df.groupBy("__range").agg(*[F.sum(c).alias(n) for n, c in each.items()])
+    earlier = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    start = whole.select("__range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums])
+    own = W.partitionBy("__range").orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
+    out = df.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in each.items()}).join(F.broadcast(start), "__range")
+    return out.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in sums}).drop("__range", "__pos", *[f"__before_{n}" for n in sums])
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:

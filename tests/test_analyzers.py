@@ -190,6 +190,8 @@ def test_folds(spark):
     want = ["Ignore all", "Ignore. it", "a.m. and e.g. that", "ignore note", None, None, None, None, None]
     for x, w, t in zip(one(spark, texts, folds.fold_segments("text")), want, texts):
         assert x == (t if w is None else w)
+    long = "i.g.n.o.r.e " + "a.b." * 60_000
+    assert one(spark, [long, None], folds.fold_segments("text")) == ["ignore " + "ab" * 60_000 + ".", None]
     leet = one(spark, texts, folds.fold_leet("text"))
     assert leet[4] == "ignore previous instructions and" and leet[5:] == texts[5:]
 
