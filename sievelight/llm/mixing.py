@@ -10,8 +10,8 @@ have the square of the share of letters and white space among their characters,
 
 Texts are read once for sizes and weights, by an Arrow function over their bytes. What follows works on rows of numbers;
 the rows returned are joined with their decisions. A source may hold a third of all rows, so its order is never sorted
-in one task: sums over 4,096 bins of a monotone image of the key find the bin that the cut falls into; sums over 4,096
-parts of this bin find the part; only that part's documents are sorted. Sources are ranked and filled by prefix sums
+in one task: sums over 4,096 bins of the key's logarithm find the bin that the cut falls into; sums over 4,096
+parts of this bin find the part, a few millionths of the key wide; only that part's documents are sorted. Sources are ranked and filled by prefix sums
 over ranges, so that a source for each host does no harm.
 
 A null source is a source, last in order. Null and empty texts have size 0 and are taken for 0 words. Very long texts
@@ -34,6 +34,8 @@ from .words import texts
 from .work import Work
 
 BINS = 4096
+#: Powers of two between which keys are told apart by their places: hashes have 52 bits, weights are between 0.05 and 1.
+LOW, HIGH = -56.0, 16.0
 OUT = ("size", "source_size", "target", "copies")
 #: Copies of one row that a task makes at a time.
 COPIES = 4096
@@ -153,8 +155,9 @@ def _plan(docs: DataFrame, row: str, weights: tuple[float, ...], share: float, m
         rows = rows.join(quality.select("doc_id", "weight"), "doc_id", "left")
         weight = F.coalesce("weight", weight)
     rows = rows.withColumn("key", -F.log("u") / weight).withColumn("all", F.col("size") * F.col("n"))
-    # a monotone image of the key in (0, 1), cut into bins and each bin into parts
-    place = F.least(F.floor((1 - F.exp(-F.col("key"))) * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("int")
+    # a monotone image of the key that no weight saturates: its logarithm, cut into bins and each bin into parts
+    octave = (F.log2(F.greatest(F.col("key"), F.lit(2.0**LOW))) - LOW) / (HIGH - LOW)
+    place = F.least(F.floor(octave * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("int")
     rows = work.save(rows.select("source", "row", "size", "n", "key", "all", place.alias("place")), "keyed")
     aims = targets(rows.groupBy("source").agg(F.sum("all").alias("source_size")), weights, share, most, work)
     aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))

@@ -523,6 +523,15 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(lm._sums(v, bounds), [v[a:b].sum() for a, b in zip(bounds, bounds[1:])])
 
 
+def test_no_part_of_the_order_is_heavy(spark):
+    u = (F.xxhash64("id") / float(2**64) + 0.5).alias("u")
+    for weight in (0.05, 0.1, 1.0):
+        keys = spark.range(200_000).select((-F.log(u) / weight).alias("key"))
+        octave = (F.log2(F.greatest(F.col("key"), F.lit(2.0**mixing.LOW))) - mixing.LOW) / (mixing.HIGH - mixing.LOW)
+        place = F.least(F.floor(octave * mixing.BINS**2), F.lit(mixing.BINS**2 - 1))
+        assert keys.groupBy(place.alias("p")).count().agg(F.max("count")).first()[0] < 20
+
+
 def test_mixing(spark):
     r = random.Random(5)
     rows = [(i, " ".join("w" for _ in range(r.randrange(1, 40))), r.choice(["a", "a", "a", "b", "ç", None])) for i in range(400)] + [(900, None, "a"), (901, "", "d"), (5, "x y", "b"), (5, "x y", "b")]
