@@ -6,7 +6,8 @@ the phrase's other terms, which are read off the stored neighbourhood, so a phra
 and no join for the others. ``proximity`` finds all terms within a span, in any order.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, with A-Z lower-cased. A null text has no
-words. Repeated rows are each a document of their own (rows are told apart by id and text, and equal rows have equal
+words, nor has an empty one; very long texts are read whole. Of equally rare terms the first in the phrase is looked up,
+which is of no effect on what matches. Repeated rows are each a document of their own (rows are told apart by id and text, and equal rows have equal
 results). Columns beyond those named are ignored; empty tables give no matches.
 """
 
