@@ -496,6 +496,67 @@ def test_language_model_learns_from_all_training_texts(spark):
     assert len(untaught) == docs.where("held_out").count() and all(x.train_tokens == 0 and x.score <= 0 for x in untaught)
 
 
+def test_every_training_token_is_in_one_window(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WINDOW", 32)
+    path, end = seekable.vocabulary("word_bpe_49k.json"), 49408
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["red", "Fox", "ran,", "\u00fcber", "zqxv"]) for _ in range(n))) for i, n in enumerate([0, 1, 31, 32, 33, 95, 700])] + [(7, None)]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = {}
+    for w in lm.windows(frame(spark, rows), path, *none, end).collect():
+        got.setdefault(w.key, []).append((w.start, w.before, np.frombuffer(w.ids, "<u4").tolist()))
+    found = []
+    for runs in got.values():
+        whole = []
+        for start, before, ids in sorted(runs):
+            assert start == len(whole) and before == (whole[-1] if whole else -1)
+            whole += ids
+        found.append(whole)
+    heads = {w: int(lm.Heads.named(path).of(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for _, t in rows for w in (t or "").split()}
+    assert sorted(found) == sorted([*(heads[w] for w in (t or "").split()), end] for _, t in rows)
+
+
+def test_the_model_learns_from_each_window(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    voc = attention.Vocabulary(np.full(50, 9))
+    cut = spark.createDataFrame([(i, 0, -1, bytearray(r.integers(0, 49, 20).astype("<u4").tobytes())) for i in range(200)], "key long, start long, before long, ids binary").coalesce(2)
+    monkeypatch.setattr(lm, "GROUP", 1000)
+    whole = lm.fitted(voc, cut)
+    for rest in (cut.where("key != 7"), cut.where("key != 150")):  # any window, left out, changes the model
+        assert not np.array_equal(whole.flat(), lm.fitted(voc, rest).flat())
+    assert np.array_equal(whole.flat(), lm.fitted(voc, cut.repartition(5)).flat())
+
+
+def test_heads_of_words():
+    from tokenizers import Tokenizer
+
+    path = seekable.vocabulary("word_bpe_49k.json")
+    t, h = Tokenizer.from_file(path), lm.Heads(path)
+    words = ["the", "THE", "b.", "a", "\u00fcber", "zqx", "(x", "\u4e2d\u6587", "catsandzq"]
+    raw = [w.encode() for w in words]
+    n = np.array([len(x) for x in raw])
+    got = [t.id_to_token(int(i)) for i in h.of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(n) - n, n)]
+    vocab = t.get_vocab()
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
+    for x, piece in zip(raw, got):
+        s = "".join(char[b] for b in x.lower())
+        assert piece == (s + "</w>" if s + "</w>" in vocab else max((s[:k] for k in range(1, len(s) + 1) if s[:k] in vocab), key=len))
+
+
+def test_a_table_finds_what_was_added():
+    from sievelight.llm.words import Table
+
+    r = np.random.default_rng(0)
+    keys = np.unique(np.concatenate([r.integers(1, 2**63, 900, dtype=np.uint64), np.arange(1, 100, dtype=np.uint64) << np.uint64(40), [np.uint64(0)]]))
+    t = Table(len(keys))
+    at = t.add(keys)
+    found, here = t.find(np.concatenate([keys, r.integers(1, 2**63, 500, dtype=np.uint64)]))
+    assert len(set(at.tolist())) == len(keys) and np.array_equal(found[: len(keys)], at) and here[: len(keys)].all() and not here[len(keys) :].any()
+    with pytest.raises(ValueError):
+        t.add(np.array([5], np.uint64))
+
+
 def test_windows_score_each_token_once():
     counts = np.arange(1, 200)
     voc = attention.Vocabulary(counts)
