@@ -388,6 +388,29 @@ def test_ids_are_those_of_the_library(spark):
         seekable.token_rows(spark.createDataFrame([("a", "b")], "doc_id string, text string"), path)
 
 
+def test_ids_when_memory_is_full(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(seekable, "REMEMBERED", 200)
+    monkeypatch.setattr(seekable, "PIECE", 3000)
+    path = seekable.vocabulary("word_bpe_49k.json")
+    t, c, r = Tokenizer.from_file(path), seekable.Chunks(path), random.Random(5)
+    word = lambda: "".join(r.choice("abcdeXYZ\u00e9\u00df0'-") for _ in range(r.randint(1, 9))) + r.choice(["", "", ".", ",!", "$$$"])
+    texts = ["", " ", *(" ".join(word() for _ in range(r.randint(1, 400))) for _ in range(60)), "a<|endoftext|>b", "y" * 500 + "\n" + "z" * 70 + " y"]
+    texts.append("\t".join(word() for _ in range(4000)))
+    for _ in range(2):
+        assert list(c.texts([x.encode() for x in texts])) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_a_worker_encodes_each_chunk_once(monkeypatch):
+    c, seen = seekable.Chunks(seekable.vocabulary("word_bpe_49k.json")), []
+    many = c.many
+    monkeypatch.setattr(c, "many", lambda parts: [seen.extend(parts), many(parts)][1])
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(k, k + 10_000)).encode() for k in range(0, 300_000, 10_000)]
+    first, again = list(c.packed(texts)), list(c.packed(texts))
+    assert first == again and len(seen) == len(set(seen)) == 300_000
+
+
 def test_token_files_of_long_texts_and_small_files(spark, monkeypatch):
     path = seekable.vocabulary("word_bpe_49k.json")
     monkeypatch.setattr(seekable, "FILE_BYTES", 200)
