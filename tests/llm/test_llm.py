@@ -607,6 +607,35 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(lm._sums(v, bounds), [v[a:b].sum() for a, b in zip(bounds, bounds[1:])])
 
 
+def test_products_of_scores_are_exact_in_any_order(monkeypatch):
+    r = np.random.default_rng(6)
+    voc = attention.Vocabulary(np.arange(2000, 0, -1), [r.integers(0, 1990, 500)])
+    net = attention.Attention(voc.sizes())
+    seen, logs = [], attention._logs
+    monkeypatch.setattr(attention, "_logs", lambda w, b, rows, y: [seen.append((w, rows)), logs(w, b, rows, y)][1])
+    net.log_probabilities(*attention.layout([lm.paired(voc, r.integers(0, 1990, n)) for n in (1, 40, 700)]))
+    assert seen
+    for w, rows in seen:
+        exact = rows.astype(float) @ w.T.astype(float)
+        for order in (np.arange(w.shape[1]), r.permutation(w.shape[1])):
+            z = np.zeros(exact.shape, np.float32)
+            for k in order:
+                z += rows[:, k, None] * w[:, k]
+            assert np.array_equal(z, exact)
+    w, b, rows, y = *(r.integers(-9, 9, s).astype(np.float32) / 8 for s in ((64, 24), 64, (50, 24))), r.integers(0, 64, 50)
+    assert np.array_equal(logs(w, b, rows, y), np.concatenate([logs(w, b, rows[i : i + 1], y[i : i + 1]) for i in range(50)]))
+
+
+def test_gradients_hold_no_subnormal_numbers():
+    z = np.random.default_rng(7).normal(size=(300, 64)).astype(np.float32)
+    z[:, 60:] = attention._NO  # places without ids
+    p = np.exp(z.astype(float))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(300), np.arange(300) % 60] -= 1
+    _, g = attention._softmax_gradient(z, np.arange(300) % 60, 4096)
+    assert np.allclose(g, p / 4096, atol=1e-9) and not ((g != 0) & (np.abs(g) < np.finfo(np.float32).tiny)).any()
+
+
 def test_no_part_of_the_order_is_heavy(spark):
     u = (F.xxhash64("id") / float(2**64) + 0.5).alias("u")
     for weight in (0.05, 0.1, 1.0):
