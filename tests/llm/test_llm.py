@@ -626,6 +626,15 @@ def test_products_of_scores_are_exact_in_any_order(monkeypatch):
     assert np.array_equal(logs(w, b, rows, y), np.concatenate([logs(w, b, rows[i : i + 1], y[i : i + 1]) for i in range(50)]))
 
 
+def test_sums_of_tasks_are_few_rows(spark):
+    parts = [np.random.default_rng(i).integers(0, 9, 10_000) for i in range(5)]
+    parts[0][:5000] = 0
+    rows = [r for x in parts for r in lm._packed(x).to_pylist()]
+    assert len(rows) == 14  # runs of zeros aren't sent
+    packed = spark.createDataFrame([(r["at"], bytearray(r["x"])) for r in rows], "at long, x binary")
+    assert np.array_equal(lm._total(packed, 10_000, np.int64), sum(parts)) and not lm._total(packed.limit(0), 7, float).any()
+
+
 def test_gradients_hold_no_subnormal_numbers():
     z = np.random.default_rng(7).normal(size=(300, 64)).astype(np.float32)
     z[:, 60:] = attention._NO  # places without ids
