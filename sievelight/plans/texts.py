@@ -5,12 +5,13 @@ import tempfile
 from pyspark.sql import functions as F
 
 from sievelight.functions import text as tx
-from sievelight.operators import near
+from sievelight.operators import near, variants
 
 from .base import query, table
 
 _ZW = "​‌‍‎‏⁠⁡⁢⁣﻿‪‫‬‭‮"
 _FOLD = r"trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' ', 'g'))"
+_percent = variants.TRANSFORMS["encoding:percent"][1]
 _FW = f"list_filter(string_split({_FOLD}, ' '), lambda w: w <> '')"
 
 
@@ -98,7 +99,7 @@ def fn_dec_xesc(spark, d):
 
 @query("fn_dec_pct", "select doc_id, url_decode(url_encode(text) || '+') as decoded from documents where len(regexp_extract_all(url_encode(text), '%[0-9a-fA-F]{2}')) >= 3")
 def fn_dec_pct(spark, d):
-    e = F.concat(F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20")), F.lit("+"))
+    e = F.concat(_percent(F.col("text")), F.lit("+"))
     return _docs(spark, d).select("doc_id", tx.decode_percent(e).alias("decoded")).where("decoded is not null")
 
 

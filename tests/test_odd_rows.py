@@ -33,3 +33,11 @@ def test_feedback_within_the_second_of_the_limit(spark, tmp_path):
     events = pa.table({"event_id": pa.array(range(n), pa.int64()), "ts": pa.array(ts, pa.timestamp("us")), "event_type": ["click"] * n, "value": [1.0] * n})
     got, want = both(spark, tmp_path, "flt_feedback_valid", events=events)
     assert got == want and sum(r[1] == "True" for r in got) == 4
+
+
+ODD = ("a*b c*d", "**", "a*b*c", "~~~", "~a~b~c~d", "a b~c*", "***********", "~ ~ ~", "100% *", "%41%42%43~", "+*+", "", " ", None, "é*", "a\nb*c", "x" * 20)
+
+
+def test_percent_escapes_are_those_of_the_standard(spark, tmp_path):
+    got, want = both(spark, tmp_path, "fn_dec_pct", documents=documents(*ODD))
+    assert got == want and 5 < len(got) < len(ODD)
