@@ -113,7 +113,8 @@ _LAYER = r"^(?:(?:0x)?(?:[0-9a-fA-F]{2}){8,}|[A-Za-z0-9+/_-]{16,}={0,2}|(?:\\x[0
 
 @query("fn_layer", f"with e as (select doc_id, case doc_id % 3 when 0 then hex(encode(text)) when 1 then url_encode(text) else text end as t from documents) select doc_id, length(t) >= 8 and (regexp_matches(t, '{_LAYER}') or (len(regexp_extract_all(t, '%[0-9a-fA-F]{{2}}')) >= 3 and not regexp_matches(replace(regexp_replace(t, '%[0-9a-fA-F]{{2}}', '', 'g'), 'x', ''), '%'))) as layer from (select doc_id, trim(t) as t from e)")
 def fn_layer(spark, d):
-    e = F.expr("case doc_id % 3 when 0 then hex(cast(text as binary)) when 1 then replace(url_encode(text), '+', '%20') else text end")
+    k = F.col("doc_id") % 3
+    e = F.when(k == 0, F.hex(F.col("text").cast("binary"))).when(k == 1, _percent(F.col("text"))).otherwise(F.col("text"))
     return _docs(spark, d).select("doc_id", tx.encoded_layer(e).alias("layer"))
 
 

@@ -41,3 +41,11 @@ ODD = ("a*b c*d", "**", "a*b*c", "~~~", "~a~b~c~d", "a b~c*", "***********", "~
 def test_percent_escapes_are_those_of_the_standard(spark, tmp_path):
     got, want = both(spark, tmp_path, "fn_dec_pct", documents=documents(*ODD))
     assert got == want and 5 < len(got) < len(ODD)
+
+
+def test_layers_of_odd_characters(spark, tmp_path):
+    token = "QWxsIG9mIGl0IGlzIGhpZGRlbiBoZXJl"
+    around = [a + x + b for x in (token, "%41%42%43", "4a" * 10) for a, b in (("", ""), (" ", " "), ("\u00a0", "\u3000"), ("", "\n"), ("\t", ""), ("\u2003 ", ""), ("", "\u200b"))]
+    texts = [t for t in (*ODD, *around) for _ in range(3)]  # each by each of the three ways
+    got, want = both(spark, tmp_path, "fn_layer", documents=documents(*texts))
+    assert got == want and len({r[1] for r in got}) == 3
