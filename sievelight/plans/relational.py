@@ -64,9 +64,11 @@ def jn_badges(spark, d):
 
 @query("jn_attest", f"select p.page_id, count(distinct a.c_custkey) as attestations from (select page_id, {_HOST} as host from pages) p join customer a on a.c_custkey % 250 = length(p.host) group by p.page_id")
 def jn_attest(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.length(F.regexp_extract(F.lower("url"), "://([^/?#]*)", 1)).alias("n"))
+    """Customers are counted once for each length; one has a single length, so a page's counts add up without the pairs."""
+    p = table(spark, d, "pages").select("page_id", F.length(F.regexp_extract(F.lower("url"), "://([^/?#]*)", 1)).alias("n")).distinct()
     a = table(spark, d, "customer").select((F.col("c_custkey") % 250).alias("n"), "c_custkey")
-    return p.join(a, "n").groupBy("page_id").agg(F.countDistinct("c_custkey").alias("attestations"))
+    a = a.groupBy("n").agg(F.countDistinct("c_custkey").alias("customers"))  # 499 rows at most
+    return p.join(F.broadcast(a), "n").groupBy("page_id").agg(F.sum("customers").alias("attestations"))
 
 
 @query("jn_membership", "select c_custkey, c_custkey in (select o_custkey from orders where o_totalprice > 300000) as audited, c_custkey in (select o_custkey from orders where o_orderstatus = 'P') as attested from customer")

@@ -5,6 +5,7 @@ import datetime as dt
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from sievelight import plans
 
@@ -56,3 +57,17 @@ def test_a_planted_address_is_judged_by_its_own_sentence(spark, tmp_path):
     texts = [f"{token}{end}" for end in ("", " x", " and so it goes on for a while.") for _ in range(4)] + ["", None, "send it", "pay to"]
     got, want = both(spark, tmp_path, "det_drain", documents=documents(*texts))
     assert got == want
+
+
+def test_attestations_are_counted_without_pairs(spark, tmp_path):
+    urls = ["https://a.io/x", "https://a.io/y", "https://bb.io", "no url", None, "https://A.IO", "https://" + "h" * 260 + ".io"]
+    pages = pa.table({"page_id": pa.array([1, 1, 1, 2, 3, None, 4], pa.int64()), "url": urls})
+    keys = [k for k in range(1, 2000)] + [4, 254, 254, None, -246, 0]
+    got, want = both(spark, tmp_path, "jn_attest", pages=pages, customer=pa.table({"c_custkey": pa.array(keys, pa.int64())}))
+    assert got == want and len(got) > 2
+    hosts = pa.table({"page_id": pa.array(range(300), pa.int64()), "url": ["https://a.io/"] * 300})
+    pq.write_table(hosts, f"{tmp_path}/pages.parquet")
+    plan = plans.QUERIES["jn_attest"](spark, str(tmp_path))
+    plan.collect()
+    joined = [x for x in str(plan._jdf.queryExecution().executedPlan()).splitlines() if "HashAggregate" in x and "sum(customers" in x]
+    assert joined and "count(distinct c_custkey" not in joined[0]
