@@ -71,3 +71,15 @@ def test_attestations_are_counted_without_pairs(spark, tmp_path):
     plan.collect()
     joined = [x for x in str(plan._jdf.queryExecution().executedPlan()).splitlines() if "HashAggregate" in x and "sum(customers" in x]
     assert joined and "count(distinct c_custkey" not in joined[0]
+
+
+def test_counts_of_a_stream_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming import DataStreamWriter
+
+    sinks, real = [], DataStreamWriter.format
+    monkeypatch.setattr(DataStreamWriter, "format", lambda self, x: sinks.append(x) or real(self, x))
+    day = dt.datetime(2024, 1, 1)
+    ts = [day, day + dt.timedelta(days=400), day + dt.timedelta(hours=23, minutes=59), day - dt.timedelta(days=9), day, day + dt.timedelta(days=1)]
+    events = pa.table({"event_id": pa.array(range(6), pa.int64()), "ts": pa.array(ts, pa.timestamp("us")), "user_id": pa.array([1, 1, 1, None, 1, 2], pa.int64()), "event_type": ["click", "click", "click", "view", "view", None]})
+    got, want = both(spark, tmp_path, "sm_tumbling_stream", events=events)
+    assert got == want and len(got) == 5 and "memory" not in sinks
