@@ -83,3 +83,28 @@ def test_counts_of_a_stream_stay_out_of_the_driver(spark, tmp_path, monkeypatch)
     events = pa.table({"event_id": pa.array(range(6), pa.int64()), "ts": pa.array(ts, pa.timestamp("us")), "user_id": pa.array([1, 1, 1, None, 1, 2], pa.int64()), "event_type": ["click", "click", "click", "view", "view", None]})
     got, want = both(spark, tmp_path, "sm_tumbling_stream", events=events)
     assert got == want and len(got) == 5 and "memory" not in sinks
+
+
+def test_vectors_are_handed_on_in_small_batches(spark, monkeypatch):
+    from sievelight.operators import features as ft
+
+    sizes, real = [], ft.F.pandas_udf
+    monkeypatch.setattr(ft.F, "pandas_udf", lambda *a: lambda f: sizes.append(f) or real(*a)(f))
+    ft.hashed("t")
+    batches = list(sizes[0](iter([ft.pd.Series(["a b c", None] * 500), ft.pd.Series([], dtype=object)])))
+    assert sum(map(len, batches)) == 1000 and max(map(len, batches)) <= 64
+    assert batches[0][1] is None and (batches[-1].iloc[-2] == ft.hashed_blocks("a b c")).all()
+
+
+def test_odd_digits_count_once(spark):
+    from sievelight.operators import features as ft
+
+    odd = "".join(c for c in map(chr, range(0x3000)) if c.isdigit())
+    rows = [(odd, sum(map(len, odd)) / len(odd)), (odd + "x" * len(odd), 0.5), ("\U0001f101a", 0.5), ("", 0.0)]
+    got = spark.createDataFrame(rows, "t string, want double").select(ft.dense_ratios("t")["digit"].alias("d"), "want").collect()
+    assert all(r.d == r.want for r in got)
+
+
+def test_features_are_computed_once(spark):
+    plan = plans.QUERIES["fn_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [blocks(") == 1
