@@ -108,3 +108,31 @@ def test_odd_digits_count_once(spark):
 def test_features_are_computed_once(spark):
     plan = plans.QUERIES["fn_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [blocks(") == 1
+
+
+def test_sums_of_tasks_are_added_up_before_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    from sievelight.operators import learned as ln
+
+    size = 2 * ln.PIECE + 5
+    half = spark.range(0, 6, 1, 6).mapInArrow(lambda batches: (ln._pieces(np.arange(size) * float(b.column(0)[0].as_py())) for b in batches), "at long, v binary")
+    got, rows, real = [], [], type(half).collect
+    monkeypatch.setattr(type(half), "collect", lambda self: rows.append(real(self)) or rows[-1])
+    for direct in (1 << 20, 0):
+        monkeypatch.setattr(ln, "DIRECT", direct)
+        got.append(ln._added(half, size))
+    assert all((x == np.arange(size) * 15.0).all() for x in got)
+    assert [len(r) for r in rows] == [18, 3]
+
+
+def test_vectors_are_read_in_small_parts():
+    import numpy as np
+
+    from sievelight.operators import learned as ln
+
+    x = np.random.default_rng(3).normal(size=(700, 5))
+    column = pa.array([v.tobytes() for v in np.vstack([x[:3], x])], pa.binary()).slice(3)
+    parts = list(ln._block(column))
+    assert (np.vstack([p for _, p in parts]) == x).all() and max(len(p) for _, p in parts) <= 256
+    assert [s.start for s, _ in parts] == [0, 256, 512] and list(ln._block(column[:0])) == []
