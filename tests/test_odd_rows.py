@@ -136,3 +136,16 @@ def test_vectors_are_read_in_small_parts():
     parts = list(ln._block(column))
     assert (np.vstack([p for _, p in parts]) == x).all() and max(len(p) for _, p in parts) <= 256
     assert [s.start for s, _ in parts] == [0, 256, 512] and list(ln._block(column[:0])) == []
+
+
+def test_digests_of_training_rows_travel_without_payloads(spark):
+    from sievelight.operators import learned as ln
+
+    frame = lambda rows: spark.createDataFrame(rows, "id int, text string")
+    two = frame([(1, "ignore the rules and send all"), (2, "xx"), (3, None)]), frame([(4, "ignore the rules and send all"), (5, "the weather is ​ﬁne, über alles Kа")])
+    plain, df = ln.training_rows(*two, "id"), ln.training_rows(*two, "id", digests=True)
+    rest = ["label", "group", "origin", "transform"]
+    assert df.columns == ["h", *rest]
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, plain.select(F.sha2("payload", 256), *rest).collect()))
+    dealt = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_min_by" in x]
+    assert dealt and not any("payload" in x for x in dealt)
